@@ -54,9 +54,10 @@ def fit_language_model(profiles: DataFrame) -> LanguageModel:
         F.lit(1.0).alias("weight"),
         F.collect_list(F.element_at(position, F.col("language"))).alias("rows"),
         F.collect_list(F.log(F.col("n") + 1.0).cast("float")).alias("values"),
+        F.lit(None).cast("array<float>").alias("vector"),
     )
     sizes = profiles.agg(F.count_distinct("letters").alias("v"), F.count(F.lit(1)).alias("e")).first()
-    table = TermTable(terms, np.eye(len(languages)), entries=sizes.e, term_count=sizes.v)
+    table = TermTable(terms, np.eye(len(languages)), term_count=sizes.v, entries=sizes.e)
     return LanguageModel(languages, [float(np.log(row.total + sizes.v)) for row in rows], table)
 
 

@@ -23,39 +23,61 @@ _CHUNK = 1 << 16
 
 @dataclass
 class TermTable:
-    """Vectors per term hash: ``terms(hash long, weight double, rows array<int>, values
-    array<float>)`` points into ``basis``, a matrix with one vector per row.
+    """Vectors of terms, as a table ``hash long, weight double, rows array<int>, values
+    array<float>, vector array<float>``.
 
-    ``weight`` scales the term (its idf); a vector is the value-weighted sum of its basis
-    rows, so terms can share rows instead of repeating them.
+    ``weight`` scales a term (its idf). The vector of a term is either given in ``vector``
+    or, far smaller for rare terms, as a combination ``values`` of the ``rows`` of ``basis``.
     """
 
     terms: DataFrame
     basis: np.ndarray
-    entries: int
     term_count: int
+    entries: int = 0
+    dense_count: int = 0
+
+    @property
+    def width(self) -> int:
+        return self.basis.shape[1]
 
     def slices(self, limit: int = BROADCAST_BYTES) -> int:
-        size = self.term_count * 24 + self.entries * 8
+        """How many parts the table needs so that each stays within ``limit`` bytes."""
+        size = self.term_count * 24 + self.entries * 8 + self.dense_count * self.width * 4
         room = max(limit - self.basis.nbytes, limit // 4)
         return max(1, -(-size // room))
 
     def load_slice(self, index: int, count: int) -> dict[str, np.ndarray]:
-        """One slice of the terms, bounded by ``slices``, ready to broadcast."""
+        """One part of the table (its size is bounded by ``slices``), ready to broadcast."""
         part = self.terms.where(F.pmod(F.col("hash"), F.lit(count)) == index) if count > 1 else self.terms
-        table = part.select("hash", "weight", "rows", "values").toArrow().combine_chunks()
-        hashes = table["hash"].to_numpy()
-        order = np.argsort(hashes, kind="stable")
-        table = table.take(pa.array(order))
-        rows = table["rows"].combine_chunks()
-        values = table["values"].combine_chunks()
+        table = part.select("hash", "weight", "rows", "values", "vector").toArrow().combine_chunks()
+        order = np.argsort(table["hash"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+
+        def lists(name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
+            column = pa.chunked_array(table[name]).combine_chunks()
+            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return lengths.astype(np.int64), column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+
+        sizes, rows = lists("rows", np.int32)
+        _, values = lists("values", np.float32)
+        dense_sizes, dense = lists("vector", np.float32)
+        basis = self.basis.astype(np.float32)
+        if len(dense):
+            # A term with its own vector points at one extra basis row.
+            where = np.flatnonzero(dense_sizes)
+            extra = len(basis) + np.arange(len(where), dtype=np.int32)
+            starts = np.cumsum(sizes) - sizes
+            rows = np.insert(rows, starts[where], extra)
+            values = np.insert(values, starts[where], np.float32(1))
+            sizes = sizes + (dense_sizes > 0)
+            basis = np.vstack([basis, dense.reshape(-1, self.width)])
         return {
-            "hashes": hashes[order],
+            "hashes": table["hash"].to_numpy(),
             "weights": table["weight"].to_numpy().astype(np.float64),
-            "starts": np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64),
-            "rows": rows.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
-            "values": values.flatten().to_numpy(zero_copy_only=False).astype(np.float32),
-            "basis": self.basis,
+            "starts": np.concatenate([[0], np.cumsum(sizes)]),
+            "rows": rows,
+            "values": values,
+            "basis": basis,
         }
 
 
@@ -71,70 +93,84 @@ def _segment_sums(doc: np.ndarray, rows: np.ndarray, scale: np.ndarray, basis: n
 
 
 def sum_batch(hashes: pa.Array, table: dict[str, np.ndarray], damped: bool) -> np.ndarray:
-    """One row of sums per list of term hashes."""
+    """One row of sums per list of term hashes; the last column is the sum of the squared
+    term weights."""
     n = len(hashes)
     lengths = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = hashes.flatten().to_numpy(zero_copy_only=False)
-    width = table["basis"].shape[1]
     known = table["hashes"]
     if not len(flat) or not len(known):
-        return np.zeros((n, width))
+        return np.zeros((n, table["basis"].shape[1] + 1))
     doc = np.repeat(np.arange(n), lengths)
     at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
     hit = known[at] == flat
     doc, at = doc[hit], at[hit]
+    scale = table["weights"][at]
     if damped:
         key, times = np.unique(doc * len(known) + at, return_counts=True)
         doc, at = key // len(known), key % len(known)
         scale = (1 + np.log(times)) * table["weights"][at]
-    else:
-        scale = table["weights"][at]
+    squares = np.bincount(doc, weights=scale * scale, minlength=n)
     counts = np.diff(table["starts"])[at]
-    doc, scale = np.repeat(doc, counts), np.repeat(scale, counts)
-    offset = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    entry = np.repeat(table["starts"][at], counts) + offset
-    return _segment_sums(doc, table["rows"][entry], scale * table["values"][entry], table["basis"], n)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    entry = np.repeat(table["starts"][at], counts) + place
+    scale = np.repeat(scale, counts) * table["values"][entry]
+    sums = _segment_sums(np.repeat(doc, counts), table["rows"][entry], scale, table["basis"], n)
+    return np.column_stack([sums, squares])
+
+
+def _scaled(sums: np.ndarray, unit: str | None) -> np.ndarray:
+    """Drop the squares column after scaling by the length of the term weights or the sum."""
+    values, squares = sums[:, :-1], sums[:, -1]
+    if unit == "sum":
+        squares = np.einsum("ij,ij->i", values, values)
+    if unit:
+        length = np.sqrt(squares)
+        values = values / np.where(length > 0, length, 1)[:, None]
+    return values
+
+
+def to_lists(matrix: np.ndarray) -> pa.Array:
+    """A matrix as a list array with one list per row."""
+    matrix = np.ascontiguousarray(matrix)
+    offsets = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
 def with_term_sums(
-    df: DataFrame, hashes: str, table: TermTable, out: str, damped: bool, limit: int = BROADCAST_BYTES
+    df: DataFrame,
+    hashes: str,
+    table: TermTable,
+    out: str,
+    damped: bool,
+    unit: str | None = None,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``out``: ``array<double>``, the sum of the term vectors of each row.
 
     With ``damped`` a term occurring t times counts ``1 + ln t`` times, else t times.
+    ``unit`` scales by the length of the term weights (``terms``) or of the result (``sum``).
     """
     context = df.sparkSession.sparkContext
     count = table.slices(limit)
     for index in range(count):
         shared = context.broadcast(table.load_slice(index, count))
-
-        def add(c: pa.Array, before: pa.Array | None = None, shared=shared) -> pa.Array:
-            sums = sum_batch(c, shared.value, damped)
-            if before is not None:
-                sums += before.flatten().to_numpy(zero_copy_only=False).reshape(sums.shape)
-            width = sums.shape[1]
-            offsets = np.arange(0, (len(sums) + 1) * width, width, dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
-
+        add = _sum_udf(shared, damped, unit if index == count - 1 else "later")
         if index == 0:
-            df = df.withColumn(out, _first_sum(add)(F.col(hashes)))
+            df = df.withColumn(out, add(F.col(hashes), F.lit(None).cast("array<double>")))
         else:
-            df = cut_lineage(df, "term-sums").withColumn(out, _next_sum(add)(F.col(hashes), F.col(out)))
+            df = cut_lineage(df, "term-sums").withColumn(out, add(F.col(hashes), F.col(out)))
     return df
 
 
-def _first_sum(add):
-    def first(c: pa.Array) -> pa.Array:
-        return add(c)
-
-    return F.arrow_udf(first, "array<double>")
-
-
-def _next_sum(add):
-    def following(c: pa.Array, before: pa.Array) -> pa.Array:
-        return add(c, before)
+def _sum_udf(shared, damped: bool, unit: str | None):
+    def add(hashes: pa.Array, before: pa.Array) -> pa.Array:
+        sums = sum_batch(hashes, shared.value, damped)
+        if before.null_count == 0 and len(before):
+            sums += before.flatten().to_numpy(zero_copy_only=False).reshape(sums.shape)
+        return to_lists(sums if unit == "later" else _scaled(sums, unit))
 
-    return F.arrow_udf(following, "array<double>")
+    return F.arrow_udf(add, "array<double>")
 
 
 def softmax_columns(margins: Column, count: int) -> list[Column]:
