@@ -52,13 +52,14 @@ def stream_import(
     ingested_at: Column,
     model: LanguageModel | None = None,
     files_per_batch: int = FILES_PER_BATCH,
+    name_pattern: str | None = None,
 ) -> StreamingQuery:
     """Import files as they land. The stream carries file paths only (never their bytes);
     the owner columns are expressions over ``path``."""
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("pathGlobFilter", f"*.{source_format}")
+        .option("pathGlobFilter", name_pattern or f"*.{source_format}")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", str(files_per_batch))
         .load(landing)
