@@ -1033,7 +1033,7 @@ def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- identifiers, constraints, jobs
 
 
-@register(f"SELECT event_id, epoch_ms(ts) AS millis FROM events")
+@register("SELECT event_id, epoch_us(ts) // 1000 AS millis FROM events")
 def uuid7_millis(spark: SparkSession, sf: str) -> DataFrame:
     """Ids made for the event times give the times back."""
     stamp = F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("Z")))

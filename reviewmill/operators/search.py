@@ -13,6 +13,7 @@ from reviewmill.functions.vectors import as_matrix, cosine_to
 from reviewmill.operators.joins import fits_broadcast
 from reviewmill.operators.termsum import to_lists
 from reviewmill.schemas import SEARCH_LIMIT
+from reviewmill.session import cut_lineage
 
 QUERIES_PER_PASS = 1024
 # Similarities closer than this are ties, broken by id.
@@ -54,8 +55,17 @@ def search_similar(
     limit: int = SEARCH_LIMIT,
     **scope: object,
 ) -> DataFrame:
-    """The nearest reviews within tenant, product and version, with their review rows."""
-    return with_reviews(nearest(in_scope(embeddings, **scope), query, limit), reviews)
+    """The nearest reviews within tenant, product and version, with their review rows.
+
+    Every vector belongs to a stored review, so the nearest are found before the join. Should
+    one of them have lost its review, only vectors that still have one are searched.
+    """
+    scoped = in_scope(embeddings, **scope)
+    hits = cut_lineage(nearest(scoped, query, limit), "hits")
+    ids = reviews.select(F.col("id").alias("review_id"))
+    if ids.join(F.broadcast(hits), "review_id", "left_semi").count() < hits.count():
+        hits = nearest(scoped.join(ids, "review_id", "left_semi"), query, limit)
+    return with_reviews(hits, reviews)
 
 
 def search_many(
