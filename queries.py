@@ -229,8 +229,8 @@ def sql_fold(x: str) -> str:
 
 
 CLEAN_SQL = f"""{REVIEWS_SQL},
-redacted AS (SELECT *, {sql_phone(sql_email(sql_normal('text')))} AS text_redacted FROM reviews),
-clean AS (SELECT *, {sql_fold('text_redacted')} AS text_normalized, sha256({sql_fold('text_redacted')}) AS content_hash
+redacted AS MATERIALIZED (SELECT *, {sql_phone(sql_email(sql_normal('text')))} AS text_redacted FROM reviews),
+clean AS MATERIALIZED (SELECT *, {sql_fold('text_redacted')} AS text_normalized, sha256({sql_fold('text_redacted')}) AS content_hash
           FROM redacted)"""
 
 
@@ -497,7 +497,7 @@ def _accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DUAL_SQL = f"""WITH RECURSIVE {CLEAN_SQL},
-ordered AS (
+ordered AS MATERIALIZED (
   SELECT id, organization_id || '|' || content_hash AS h, source_id || '|' || external_id AS e,
          row_number() OVER (ORDER BY id) AS rn
   FROM clean WHERE length(text_redacted) >= 3),
@@ -509,7 +509,7 @@ walk AS (
          CASE WHEN list_contains(hs, h) OR coalesce(list_contains(es, e), false) THEN hs ELSE list_append(hs, h) END,
          CASE WHEN list_contains(hs, h) OR coalesce(list_contains(es, e), false) OR e IS NULL THEN es ELSE list_append(es, e) END
   FROM walk JOIN ordered o ON o.rn = walk.rn + 1),
-accepted AS (SELECT id FROM walk WHERE taken)"""
+accepted AS MATERIALIZED (SELECT id FROM walk WHERE taken)"""
 
 
 @register(f"{DUAL_SQL} SELECT id, organization_id, product_id, external_id, content_hash, 'pending' AS status FROM clean WHERE id IN (SELECT id FROM accepted)")
@@ -584,10 +584,10 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
 
 CLASSIFIED_SQL = f"""{DUAL_SQL},
 classified AS (
-  SELECT id AS row_number, product_id AS path,
+  SELECT clean.id AS row_number, product_id AS path,
          CASE WHEN length(text_redacted) < 3 THEN 'text too short after cleaning' END AS reason,
-         CASE WHEN length(text_redacted) < 3 THEN 'rejected' WHEN id IN (SELECT id FROM accepted) THEN 'imported' ELSE 'duplicate' END AS outcome
-  FROM clean)"""
+         CASE WHEN length(text_redacted) < 3 THEN 'rejected' WHEN accepted.id IS NOT NULL THEN 'imported' ELSE 'duplicate' END AS outcome
+  FROM clean LEFT JOIN accepted ON accepted.id = clean.id)"""
 
 
 @register(f"{CLASSIFIED_SQL} SELECT row_number, outcome, reason FROM classified")
