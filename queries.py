@@ -32,7 +32,7 @@ from reviewmill.operators import (
 from reviewmill.plans import importing, scoring, searching, training
 from reviewmill.plans.preprocess import preprocess_reviews
 from reviewmill.schemas import REVIEW_SENTIMENTS, REVIEWS
-from reviewmill.session import cut_lineage, scratch_path
+from reviewmill.session import cut_lineage, scratch_path, spread
 from reviewmill.sources import corpora, registry, reviews as files, tables
 from reviewmill.streaming.jobs import stream_embed, stream_import, stream_score
 
@@ -53,8 +53,13 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+TEXT_TABLES = ("documents", "pages", "conversations", "events")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; text-heavy ones are single files here and get spread over the cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # ---------------------------------------------------------------- tables standing in
@@ -847,7 +852,7 @@ def tfidf_features(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"WITH {TERMS_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def inverse_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    idf = features.inverse_document_frequency(features.term_counts(docs, "doc_id"), docs.count())
+    idf = features.inverse_document_frequency(features.document_frequency(docs), docs.count())
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

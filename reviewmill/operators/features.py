@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.terms import term_hashes, with_terms
 from reviewmill.operators.joins import ROWS_PER_TASK, hot_keys, lookup_join
+from reviewmill.session import cut_lineage
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text", hashed: bool = False) -> DataFrame:
@@ -20,29 +21,38 @@ def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text", hashed:
     )
 
 
-def inverse_document_frequency(counts: DataFrame, documents: int) -> DataFrame:
-    """``term, df, idf`` with the smoothed idf ``ln((1 + n) / (1 + df)) + 1``."""
+def document_frequency(docs: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
+    """``term, df``: in how many documents each term occurs. A document drops its repeats
+    itself, so the only shuffle carries partial counts per term."""
+    terms = F.array_distinct("_terms")
+    exploded = with_terms(docs.select(F.col(text).alias("_text")), "_text", "_terms")
     return (
-        counts.groupBy("term")
+        exploded.select(F.explode(term_hashes(terms) if hashed else terms).alias("term"))
+        .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log(F.lit(documents + 1.0) / (F.col("df") + 1)) + 1)
     )
 
 
+def inverse_document_frequency(frequencies: DataFrame, documents: int) -> DataFrame:
+    """``term, df, idf`` with the smoothed idf ``ln((1 + n) / (1 + df)) + 1``."""
+    return frequencies.withColumn("idf", F.log(F.lit(documents + 1.0) / (F.col("df") + 1)) + 1)
+
+
 def weigh(counts: DataFrame, idf: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``id, term, weight`` with ``(1 + ln tf) * idf``, scaled to unit length per document.
 
     A common word occurs in most documents, so the join on the term splits the terms whose
-    document frequency (already counted) is above what one task should take.
+    document frequency (already counted) is above what one task should take. The length is
+    summed over the terms of one document, a group that no other document adds to.
     """
     hot = hot_keys(idf, ["term"], rows_per_task, count="df")
     joined = lookup_join(counts, idf, ["term"], "inner", spread=["id"], hot=hot)
     raw = joined.select("id", "term", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", (F.col("raw") / length).alias("weight"))
 
 
 def tfidf_features(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """``id, term, weight``: the TF-IDF matrix of a corpus."""
-    counts = term_counts(docs, id_col, text)
-    return weigh(counts, inverse_document_frequency(counts, docs.count()))
+    idf = cut_lineage(inverse_document_frequency(document_frequency(docs, text), docs.count()), "idf")
+    return weigh(term_counts(docs, id_col, text), idf)

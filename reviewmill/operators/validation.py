@@ -107,20 +107,28 @@ def _datetime_timestamp(c: Column) -> Column:
     return F.when(c.rlike(_DATETIME), F.timestamp_micros(instant))
 
 
-def parse_occurred_at(c: Column) -> tuple[Column, Column]:
+def iso_timestamp(c: Column) -> Column:
+    """The instant of a text that is an ISO date or date-time and not a plain number."""
+    text = c["value"]
+    return F.when((c["kind"] == "string") & ~text.rlike(_NUMBER), _datetime_timestamp(text))
+
+
+def parse_occurred_at(c: Column, iso: Column | None = None) -> tuple[Column, Column]:
     """(value, problem): epoch numbers (seconds, or milliseconds when large), as numbers or
-    text, before ISO dates and date-times."""
+    text, before ISO dates and date-times. Pass ``iso`` when ``iso_timestamp`` of the cell is
+    already a column, so that it is worked out once."""
+    iso = iso_timestamp(c) if iso is None else iso
     kind, text = c["kind"], c["value"]
     is_number = (kind == "number") | ((kind == "string") & text.rlike(_NUMBER))
     number = F.replace(text, F.lit("−"), F.lit("-")).try_cast("double")
-    value = F.when(is_number, _epoch_timestamp(number)).when(kind == "string", _datetime_timestamp(text))
+    value = F.when(is_number, _epoch_timestamp(number)).otherwise(iso)
     epoch_problem = F.when(is_number, F.concat(F.lit(NOT_A_DATE), _epoch_problem(number)))
     problem = (
         F.when(kind == "absent", FIELD_REQUIRED)
         .when(~kind.isin("string", "number"), NOT_A_DATETIME)
         .when(is_number, epoch_problem)
-        .when(text.rlike("^0000-") & text.rlike(_DATETIME), YEAR_ZERO)
-        .when(_datetime_timestamp(text).isNull(), _date_problem(text))
+        .when(text.startswith("0000-") & iso.isNotNull(), YEAR_ZERO)
+        .when(iso.isNull(), _date_problem(text))
     )
     return F.when(problem.isNull(), value), problem
 
@@ -185,9 +193,9 @@ def validate_rows(raw: DataFrame) -> DataFrame:
     """Typed fields plus ``error``; every other column of ``raw`` is kept."""
     fields = ("text", "occurred_at", "external_id", "rating", "language", "attributes")
     kept = [name for name in raw.columns if name not in (*fields, "parse_error")]
-    df = parse_attributes(raw)
+    df = parse_attributes(raw).withColumn("_iso", iso_timestamp(F.col("occurred_at")))
     text, text_problem = validate_text(F.col("text"))
-    occurred, occurred_problem = parse_occurred_at(F.col("occurred_at"))
+    occurred, occurred_problem = parse_occurred_at(F.col("occurred_at"), F.col("_iso"))
     external, external_problem = optional_text(F.col("external_id"))
     rating, rating_problem = parse_rating(F.col("rating"))
     language, language_problem = optional_text(F.col("language"))
