@@ -77,30 +77,27 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Write a whole new state of a table next to the old ones, which may still be read.
 
-    The commit marker Spark leaves in a finished directory decides what readers see: a
-    snapshot whose job died is never picked up.
+    The state is announced only once it is complete: a snapshot whose job died is never
+    picked up.
     """
-    target = f"{path.rstrip('/')}/snapshot={time.time_ns():020d}"
+    name = f"snapshot={time.time_ns():020d}"
+    target = f"{path.rstrip('/')}/{name}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
+    announced = df.sparkSession.createDataFrame([(name,)], "value string").coalesce(1)
+    announced.write.mode("append").text(f"{path.rstrip('/')}/published")
     return target
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> str | None:
-    """The newest finished snapshot directory."""
+    """The newest announced snapshot directory."""
     try:
-        marks = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "_SUCCESS")
-            .load(f"{path.rstrip('/')}/snapshot=*/_SUCCESS")
-            .agg(F.max("path").alias("path"))
-            .first()
-        )
+        newest = spark.read.text(f"{path.rstrip('/')}/published").agg(F.max("value").alias("name")).first()
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return marks.path.rsplit("/", 1)[0] if marks and marks.path else None
+    return f"{path.rstrip('/')}/{newest.name}" if newest.name else None
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
