@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,19 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     chosen = first[0].unionByName(first[1])  # 2 * per_class rows at most
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id", "y").agg(F.max("text").alias("text")), counts
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of a logistic curve by Newton's method, lightly ridged on scaled values."""
+    scale = float(x.std()) or 1.0
+    a, b, z = 0.0, 0.0, x / scale
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g = np.array([(weights * (p - y) * z).sum() + 1e-3 * a, (weights * (p - y)).sum() + 1e-6 * b])
+        s = weights * p * (1 - p)
+        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
+        da, db = np.linalg.solve(h, g)
+        a, b = a - float(np.clip(da, -5, 5)), b - float(np.clip(db, -5, 5))
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return a / scale, b

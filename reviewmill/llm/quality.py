@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reviewmill.llm.labels import training_texts
+from reviewmill.llm.labels import logistic, training_texts
 from reviewmill.llm.words import batches_of, texts_of
 
 CHUNK = 512
@@ -77,22 +77,6 @@ class Sizes:
         return sum((len(bad.compress(p)) - len(good.compress(p))) / len(p) for p in parts) / len(parts)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of a logistic curve by Newton's method, lightly ridged on scaled values."""
-    scale = float(x.std()) or 1.0
-    a, b, z = 0.0, 0.0, x / scale
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g = np.array([(weights * (p - y) * z).sum() + 1e-3 * a, (weights * (p - y)).sum() + 1e-6 * b])
-        s = weights * p * (1 - p)
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(da, -5, 5)), b - float(np.clip(db, -5, 5))
-        if abs(da) + abs(db) < 1e-9:
-            break
-    return a / scale, b
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Compression:
     """Fit on at most ``per_class`` whole labelled texts of each class outside the held-out fold:
     two thirds of them make the dictionaries, the others the curve.
