@@ -2,8 +2,8 @@
 
 The tokenizer drops white space before it looks for pairs, so the ids of a text are the ids
 of its words in order. Every Python worker has the library encode a distinct word once and
-then copies. A word that is Latin letters between ASCII marks is cut there first, as the
-tokenizer would do; such parts repeat more often than words do.
+then copies. A word that is Latin letters between ASCII marks is cut there and goes to the library's
+pair-merging model directly, which is what the tokenizer would do with it.
 """
 
 from __future__ import annotations
@@ -95,31 +95,23 @@ class Encoder:
 
     def _empty(self) -> None:
         self.words, self.word_ids = _Numbers(), _Rows()
-        self.parts, self.part_ids = _Numbers(), _Rows()
 
-    def _part(self, part: str | tuple[str]) -> list[int]:
-        if isinstance(part, tuple):
-            return self.tokenizer.encode(part[0], add_special_tokens=False).ids
-        return [token.id for token in self.model.tokenize(part if part.isascii() else part.translate(self.stand_ins))]
+    def _word(self, text: str) -> list[int]:
+        parts = parts_of(text)
+        if parts is None:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = []
+        for part in parts:
+            found += [token.id for token in self.model.tokenize(part if part.isascii() else part.translate(self.stand_ins))]
+        return found
 
     def _settle(self) -> None:
         """Encode the words that came up since the last call."""
         fresh, self.words.fresh = self.words.fresh, []
-        if not fresh:
-            return
-        numbers, counts, known = [], [], self.parts
-        for word in fresh:
-            text = word.decode("utf-8", "replace")
-            parts = parts_of(text) or ((text,),)
-            counts.append(len(parts))
-            for part in parts:
-                numbers.append(known[part])
-        new, known.fresh = [self._part(part) for part in known.fresh], []
-        if new:
+        if fresh:
+            new = [self._word(word.decode("utf-8", "replace")) for word in fresh]
             lengths = np.fromiter(map(len, new), np.int64, len(new))
-            self.part_ids.append(np.fromiter((i for ids in new for i in ids), np.uint32, int(lengths.sum())), lengths)
-        ids, lengths = self.part_ids.gather(np.array(numbers, np.int64))
-        self.word_ids.append(ids, np.add.reduceat(lengths, np.cumsum(counts) - counts))
+            self.word_ids.append(np.fromiter((i for ids in new for i in ids), np.uint32, int(lengths.sum())), lengths)
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of one whole text."""

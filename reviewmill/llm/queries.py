@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import mixing, packing, quality, secrets, tokenfile, toxicity, urls
+from reviewmill.llm import mixing, ngram_join, packing, quality, secrets, tokenfile, toxicity, urls
 from reviewmill.llm.labels import fold_of
 from reviewmill.session import cut_lineage, scratch_path, spread
 
@@ -78,6 +78,11 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@register()
+def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf, "documents").select("doc_id", "text"), n=5, percent=75)
+
+
 @register()
 def op7_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
