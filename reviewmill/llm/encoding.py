@@ -20,9 +20,17 @@ MARKS = string.punctuation.replace("'", "")
 PLAIN = "\u0130"
 
 
+def folded(text: bytes) -> bytes:
+    """A-Z in lower case, which the tokenizer does later, unless that could change what it sees:
+    a mark after the letter may join it (U+0300 to U+036F), a special token is as written."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 def parts_of(word: str) -> tuple[str, ...] | None:
     """A word as the lower-cased parts that the tokenizer looks at one by one, where that is
     certain: ASCII marks, Latin letters, ASCII marks. None for any other word."""
+    if word.isascii() and word.isalpha():
+        return (word.lower(),)
     core = word.strip(MARKS)
     if "<|" in word:
         return None
@@ -116,7 +124,7 @@ class Encoder:
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of one whole text."""
         out = []
-        for segment in segments(text):
+        for segment in segments(folded(text)):
             if len(self.words) > KNOWN_WORDS:
                 self._empty()
             words = segment.split()

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import mixing, ngram_join, packing, quality, secrets, tokenfile, toxicity, urls
+from reviewmill.llm import cover_tree, mixing, ngram_join, packing, quality, secrets, stable_search, tokenfile, toxicity, urls
 from reviewmill.llm.labels import fold_of
 from reviewmill.session import cut_lineage, scratch_path, spread
 
@@ -51,6 +51,11 @@ def text_files(docs: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // bytes_each))
 
 
+@register()
+def op1_stable_projections(spark: SparkSession, sf: str) -> DataFrame:
+    return stable_search.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
+
+
 @register()
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
@@ -92,6 +97,29 @@ def op7_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+PRODUCTS_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable),
+products AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+  GROUP BY q.vec_id, c.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM products)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 10"""
+
+
+@register(PRODUCTS_SQL)
+def op8_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
+    whole = F.transform("x", lambda c: F.floor(c * F.lit(1024.0)).cast("long"))
+    return cover_tree.top_products(table(spark, sf, "embeddings"), "vec_id", "embedding", whole, F.col("vec_id") % 100 == 0, k=10)
+
+
 def _span(s: F.Column) -> F.Column:
     return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT_BYTES = 1 << 20
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
