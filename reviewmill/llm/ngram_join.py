@@ -78,7 +78,7 @@ def set_key(ngrams: np.ndarray) -> tuple[int, int]:
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2`` per row; the keys of an empty set are null."""
+    """``doc_id, text_key, n_shingles, h1, h2`` per row; the keys of an empty set are null."""
 
     def sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -86,11 +86,12 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             sets = [shingles.of(text) for text in texts]
             keys = [set_key(s) if len(s) else (None, None) for s in sets]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                names=["doc_id", "n_shingles", "h1", "h2"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
+                names=["doc_id", "text_key", "n_shingles", "h1", "h2"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sized, "doc_id long, n_shingles long, h1 long, h2 long")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(sized, "doc_id long, text_key long, n_shingles long, h1 long, h2 long")
 
 
 def _blobs(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -403,20 +404,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
+    """``doc_id, text_key, n_shingles, group, component_id`` for every row of ``docs`` (``doc_id, text``).
 
     Words are runs of other than space and U+0009 to U+000D, A-Z in lower case. Two documents
     link when ``100 * |intersection| >= percent * |union|`` of their sets of ``n`` words;
-    ``component_id`` is the smallest ``doc_id`` reachable. A document without words links with
-    nothing and is its own component. Rows without a ``doc_id`` link with nothing and have no
-    component. Repeated rows are returned as often as they come.
+    ``component_id`` is the smallest ``doc_id`` reachable, ``group`` a number of the component.
+    A document without words links with nothing: it is its own component, without a group. Rows
+    without a ``doc_id`` link with nothing and have neither. Repeated rows are returned as often
+    as they come; texts under one ``doc_id`` are looked at one by one, told apart by
+    ``text_key``, the xxhash64 of the text.
     """
     rows = cut_lineage(document_sets(docs, n), "sets")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     total = named.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    keys = cut_lineage(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("set_id")), "set-ids")
+    least = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    keys = cut_lineage(least.withColumn("set_id", F.monotonically_increasing_id()), "set-ids")
     sets = cut_lineage(candidate_sets(docs, keys, n, percent, total), "candidate-sets")
     joined = components(links(sets, percent))
-    found = keys.join(joined, F.col("set_id") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "set_id").alias("_c"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
-    return rows.join(found, ["h1", "h2"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    # the root of a star is no node of its own edges
+    found = keys.join(joined, F.col("set_id") == F.col("node"), "left").select("h1", "h2", "least", F.coalesce("component", "set_id").alias("_group"))
+    first = found.groupBy(F.col("_group").alias("_g")).agg(F.min("least").alias("_first"))
+    found = found.join(first, F.col("_group") == F.col("_g")).select("h1", "h2", "_group", "_first")
+    named_id = F.col("doc_id").isNotNull()
+    return rows.join(found, ["h1", "h2"], "left").select(
+        "doc_id", "text_key", "n_shingles", F.when(named_id, F.col("_group")).alias("group"), F.when(named_id, F.coalesce("_first", "doc_id")).alias("component_id")
+    )
+
+
+def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` without near copies: of each group the row with the smallest ``doc_id`` stays (of
+    several texts under it the one with the smallest ``text_key``; of equal rows one). Rows
+    without words, and rows without a ``doc_id``, stay."""
+    found = similar_documents(docs.select("doc_id", "text"), n, percent)
+    found = cut_lineage(found.select("doc_id", "text_key", "group"), "groups")
+    firsts = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    alone = found.where(F.col("group").isNull() & F.col("doc_id").isNotNull()).select("doc_id", "text_key").distinct()
+    kept = firsts.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_key", F.xxhash64("text"))
+    joined = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy("doc_id"))
+    once = joined.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -85,7 +85,8 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.similar_documents(table(spark, sf, "documents").select("doc_id", "text"), n=5, percent=75)
+    found = ngram_join.similar_documents(table(spark, sf, "documents").select("doc_id", "text"), n=5, percent=75)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @register()

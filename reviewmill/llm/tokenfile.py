@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from reviewmill.llm.encoding import encoder
 from reviewmill.llm.words import batches_of
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 16
 BLOCKS = "shard int, block int, bits int, n_tokens long, doc_ids array<long>, firsts array<long>, packed binary"
 
 

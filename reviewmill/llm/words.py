@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT_BYTES = 1 << 20
 KNOWN_WORDS = 1 << 19
@@ -85,10 +86,12 @@ class WordValues(dict):
 def batches_of(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``size`` bytes of text each, and their texts."""
     for batch in batches:
-        texts = texts_of(batch.column(column))
-        start = weight = 0
-        for i, text in enumerate(texts):
-            weight += len(text)
-            if weight >= size or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, weight = i + 1, 0
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        ends = np.cumsum(lengths, dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, texts_of(part.column(column))
+            start = stop
