@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, learned from ``labels``, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = toxicity.fit_toxicity(docs, labels)
-    return toxicity.score_toxicity(docs, machine).where("toxicity < 0.5").drop("toxicity")
+    scored = toxicity.score_toxicity(docs, machine, "_toxic_score")
+    return scored.where("_toxic_score < 0.5").drop("_toxic_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

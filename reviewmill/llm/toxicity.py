@@ -31,6 +31,7 @@ TERMS = 8192
 LEAST_DOCS = 4
 FACTORS = 8
 PER_CLASS = 4000
+EMPTY = 20
 _MARKS = string.punctuation + "«»“”‘’¿¡…–—"
 
 
@@ -146,7 +147,9 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, shares: tuple[int, int],
     machine = Machine(row, 0.0, np.zeros(m + 1), np.zeros((m + 1, FACTORS)), 0.0, math.log((shares[1] + 1) / (shares[0] + 1)))
     if not m:
         return machine
-    data = [np.append(r[r < m], m) for r in (row[s] for s in sets)]
+    none = -(-len(sets) // EMPTY)
+    data = [np.append(r[r < m], m) for r in (row[s] for s in sets)] + [np.array([m])] * none
+    y = np.append(y, np.zeros(none))
     part = np.random.default_rng(seed).permutation(len(data)) % 3
     raw = np.zeros(len(data))
     for k in range(3):
@@ -179,10 +182,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     return fit_machine(found, y, (counts[0], counts[1]))
 
 
-def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with the column ``toxicity`` (0 to 1) of every whole text; null and empty texts
-    have the score of no terms. Other columns are kept; one named ``toxicity`` is replaced."""
-    kept = [c for c in docs.columns if c != "toxicity"]
+def score_toxicity(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:
+    """``docs`` with ``column`` (0 to 1), the score of every whole text; null and empty texts have
+    the score of no terms. Other columns are kept; one of that name is replaced."""
+    kept = [c for c in docs.columns if c != column]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])
     model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS and TERMS bound its size
 
@@ -190,6 +193,6 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
         terms, m = Terms(), model.value
         for batch, texts in batches_of(batches, "text"):
             scores = pa.array([m.score(terms.of(text)) for text in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, column])
 
-    return plain.mapInArrow(scored, StructType([*plain.schema]).add("toxicity", "double"))
+    return plain.mapInArrow(scored, StructType([*plain.schema]).add(column, "double"))
