@@ -31,7 +31,6 @@ TERMS = 8192
 LEAST_DOCS = 4
 FACTORS = 8
 PER_CLASS = 4000
-EMPTY = 20
 _MARKS = string.punctuation + "«»“”‘’¿¡…–—"
 
 
@@ -71,6 +70,7 @@ class Machine:
     factors: np.ndarray
     slope: float
     shift: float
+    share: float
 
     def raw(self, rows: np.ndarray) -> float:
         v = self.factors[rows]
@@ -79,7 +79,10 @@ class Machine:
 
     def score(self, buckets: np.ndarray) -> float:
         rows = self.row[buckets]
-        raw = self.raw(rows[rows < len(self.weights) - 1])
+        rows = rows[rows < len(self.weights) - 1]
+        if not len(rows):
+            return self.share
+        raw = self.raw(rows)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * raw + self.shift))))
 
 
@@ -144,12 +147,10 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, shares: tuple[int, int],
     m = len(kept)
     row = np.full(BUCKETS, m, np.int32)
     row[kept] = np.arange(m)
-    machine = Machine(row, 0.0, np.zeros(m + 1), np.zeros((m + 1, FACTORS)), 0.0, math.log((shares[1] + 1) / (shares[0] + 1)))
+    machine = Machine(row, 0.0, np.zeros(m + 1), np.zeros((m + 1, FACTORS)), 1.0, 0.0, (shares[1] + 1) / (sum(shares) + 2))
     if not m:
         return machine
-    none = -(-len(sets) // EMPTY)
-    data = [np.append(r[r < m], m) for r in (row[s] for s in sets)] + [np.array([m])] * none
-    y = np.append(y, np.zeros(none))
+    data = [np.append(r[r < m], m) for r in (row[s] for s in sets)]
     part = np.random.default_rng(seed).permutation(len(data)) % 3
     raw = np.zeros(len(data))
     for k in range(3):

@@ -286,7 +286,7 @@ def test_toxicity_learns_pairs(spark):
 
 def test_machine_equals_the_sum_over_pairs():
     rng = np.random.default_rng(2)
-    m = toxicity.Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)), 1.0, 0.0)
+    m = toxicity.Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)), 1.0, 0.0, 0.5)
     rows = np.array([0, 3, 5, 6])
     pairs = sum(m.factors[a] @ m.factors[b] for i, a in enumerate(rows) for b in rows[i + 1 :])
     assert m.raw(rows) == pytest.approx(0.3 + m.weights[rows].sum() + pairs)
