@@ -7,11 +7,11 @@ every set into one segment per fragment.
    n-grams and answers with those that two sets or more hold; only these can overlap.
 2. A set that shares too few n-grams to reach the threshold with anything is done. For the rest
    the n-grams at the front of the order (as many as the threshold demands) are postings: two
-   similar sets meet in one of them.
-3. Within a posting list the sets meet a leader instead of each other. What is close to the
-   leader is linked through it. One minus Jaccard is a metric, so a pair whose distances to the
-   leader differ by more than the threshold allows cannot be similar; only the pairs this leaves
-   are compared, in further rounds with new leaders, at last directly.
+   similar sets meet in one of them, and from their first common one on hold enough n-grams.
+3. Within a posting list the sets first meet a leader instead of each other. What is close to
+   the leader is linked through it. One minus Jaccard is a metric, so a pair whose distances to
+   the leader differ by more than the threshold allows cannot be similar. Only pairs that this
+   leaves, and that no links connect yet, are compared directly.
 4. Candidate pairs are counted fragment by fragment, from segments that each hold a part of
    every set, and the partial overlaps are summed per pair.
 5. Links are joined into components by alternating stars.
@@ -42,6 +42,7 @@ BATCH_BYTES = 8 << 20
 BATCH_SETS = 1 << 15
 PAIRS_PER_TASK = 1 << 20
 LEADER_ROUNDS = 4
+DIRECT_PER_POSTING = 512
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -292,7 +293,8 @@ def _count(key: tuple, segments_: pa.Table, pairs: pa.Table) -> pa.Table:
                     sums = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
                     counts[low : low + len(others)] = sums[ends] - sums[ends - n]
             marks[own] = 0
-    return pa.table({"a": a, "b": b, "part": counts})
+    some = counts > 0
+    return pa.table({"a": a[some], "b": b[some], "part": counts[some]})
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, bits_total: int = 48) -> DataFrame:
@@ -303,7 +305,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, bits_total: int = 48) -> DataFra
     """
     sizes = sets.agg(F.sum(F.size("ngrams")).alias("n"), F.max(F.shiftright(F.array_max("ngrams"), 48)).alias("top")).first()
     total, top = int(sizes["n"] or 0), int(sizes["top"] or 0)
-    cuts = max(4, min(top + 1, -(-total // FRAGMENT_NGRAMS)))
+    cuts = max(2, min(top + 1, -(-total // (4 * FRAGMENT_NGRAMS))))
     wide = -(-(top + 1) // cuts)
     cuts = -(-(top + 1) // wide)
     parts = max(1, -(-pairs.count() // PAIRS_PER_TASK))
@@ -316,7 +318,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, bits_total: int = 48) -> DataFra
     cut = needed.join(sets.select("set_id", F.explode(each).alias("_s")), "set_id").select("h", "_s.f", "set_id", "_s.part").where(F.size("part") > 0)
     spread = placed.select(F.col("h").alias("ph"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("pf"), F.col("a").alias("a"), F.col("b").alias("b"))
     counted = cut.groupBy("h", "f").cogroup(spread.groupBy("ph", "pf")).applyInArrow(_count, "a long, b long, part long")
-    summed = counted.where("part > 0").groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    summed = counted.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
     return pairs.join(summed, ["a", "b"], "left").na.fill(0, ["overlap"])
 
 
@@ -324,6 +326,12 @@ def _long_enough(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _enough_left(n: Column, at: Column, m: Column, at_m: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` n-grams that first meet at places ``at`` and ``at_m`` of
+    their orders have enough n-grams from there on."""
+    return (100 + percent) * F.least(n - at, m - at_m) >= percent * (n + m)
+
+
 def _pairs(rows: DataFrame, other: str, other_n: str) -> DataFrame:
     """Distinct pairs, the smaller id first."""
     mine = F.col("set_id") < F.col(other)
@@ -338,48 +346,54 @@ def _pairs(rows: DataFrame, other: str, other_n: str) -> DataFrame:
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of similar sets that connect all similar sets.
 
-    Leader rounds go on while direct comparison would exceed the postings in number, at most
-    LEADER_ROUNDS of them; the direct comparison of what is left is exact at any size.
+    A leader round is followed by others while direct comparison would look at more than
+    DIRECT_PER_POSTING pairs for each posting, up to LEADER_ROUNDS; the direct comparison of
+    what is left is exact at any size.
     """
     reach = 1 - percent / 100
     similar = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
-    postings = sets.select("set_id", "n", F.explode(F.slice("ngrams", 1, F.col("prefix"))).alias("ngram"))
+    front = F.posexplode(F.slice("ngrams", 1, F.col("prefix"))).alias("_i", "ngram")
+    alone = F.col("n") - F.size("ngrams")  # n-grams that no other set holds come first
+    postings = sets.select("set_id", "n", alone.alias("_alone"), front).select("set_id", "n", "ngram", (F.col("_alone") + F.col("_i")).alias("at"))
     lists = postings.groupBy("ngram").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     open_ = postings.join(lists.select("ngram"), "ngram").withColumn("ball", F.lit(0)).withColumn("d", F.lit(None).cast("double")).withColumn("exact", F.lit(False))
     open_ = cut_lineage(open_, "postings")
-    limit, found = open_.count(), []
+    limit, found = DIRECT_PER_POSTING * open_.count(), None
     for turn in range(1, LEADER_ROUNDS + 1):
-        fresh = F.when(F.col("ball") == 0, F.struct("set_id", "n"))
+        fresh = F.when(F.col("ball") == 0, F.struct("set_id", "n", "at"))
         leaders = open_.groupBy("ngram").agg(F.min(fresh).alias("_l")).where("_l is not null")
-        led = open_.drop("d", "exact").join(leaders, "ngram", "left").select("*", F.col("_l.set_id").alias("leader"), F.col("_l.n").alias("ln")).drop("_l")
-        led = cut_lineage(led, "led")
-        meet = led.where(F.col("leader").isNotNull() & (F.col("leader") != F.col("set_id")) & _long_enough(F.col("n"), F.col("ln"), percent))
-        counted = cut_lineage(overlaps(cut_lineage(_pairs(meet, "leader", "ln"), "pairs"), sets), "overlaps")
-        found.append(counted.where(similar).select("a", "b"))
-        measured = counted.select("a", "b", "overlap")
-        away = led.withColumn("a", F.least("set_id", "leader")).withColumn("b", F.greatest("set_id", "leader")).join(measured, ["a", "b"], "left")
+        led = open_.drop("d", "exact").join(leaders, "ngram", "left")
+        led = cut_lineage(led.select("*", F.col("_l.set_id").alias("leader"), F.col("_l.n").alias("ln"), F.col("_l.at").alias("lat")).drop("_l"), "led")
+        other = F.col("leader").isNotNull() & (F.col("leader") != F.col("set_id"))
+        possible = _long_enough(F.col("n"), F.col("ln"), percent) & _enough_left(F.col("n"), F.col("at"), F.col("ln"), F.col("lat"), percent)
+        counted = cut_lineage(overlaps(cut_lineage(_pairs(led.where(other & possible), "leader", "ln"), "pairs"), sets), "overlaps")
+        new = counted.where(similar).select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        away = led.withColumn("a", F.least("set_id", "leader")).withColumn("b", F.greatest("set_id", "leader")).join(counted.select("a", "b", "overlap"), ["a", "b"], "left")
         distance = F.when(F.col("set_id") == F.col("leader"), 0.0).when(F.col("overlap").isNotNull(), 1 - F.col("overlap") / (F.col("n") + F.col("ln") - F.col("overlap")))
-        bound = 1 - F.least("n", "ln") / F.greatest("n", "ln")  # too different in length: a lower bound is known
+        bound = 1 - F.least("n", "ln") / F.greatest("n", "ln")  # not measured: their lengths give a lower bound
         inside = F.coalesce(100 * F.col("overlap") >= percent * (F.col("n") + F.col("ln") - F.col("overlap")), F.col("set_id") == F.col("leader"))
-        away = away.select("ngram", "set_id", "n", "ball", F.coalesce(distance, bound).alias("d"), distance.isNotNull().alias("exact"), F.coalesce(inside, F.lit(False)).alias("_in"))
-        nearest = away.groupBy("ngram").agg(F.min(F.when(~F.col("_in"), F.col("d"))).alias("_out"), F.count(F.lit(1)).alias("_all"), F.count(F.when(~F.col("_in") & (F.col("ball") == 0), 1)).alias("_free"))
-        kept = away.join(nearest.where("_out is not null"), "ngram").where(~F.col("_in") | (F.col("d") >= F.col("_out") - reach - 1e-9))
+        away = away.select("ngram", "set_id", "n", "at", "ball", F.coalesce(distance, bound).alias("d"), distance.isNotNull().alias("exact"), F.coalesce(inside, F.lit(False)).alias("_in"))
+        nearest = away.groupBy("ngram").agg(F.min(F.when(~F.col("_in"), F.col("d"))).alias("_out"), F.count(F.when(~F.col("_in") & F.col("d").isNull(), 1)).alias("_unknown"))
+        nearest = nearest.where("_out is not null or _unknown > 0")
+        reached = (F.col("_unknown") > 0) | (F.col("d") >= F.col("_out") - reach - 1e-9)
+        kept = away.join(nearest, "ngram").where(~F.col("_in") | reached)
         kept = kept.withColumn("ball", F.when(F.col("_in") & (F.col("ball") == 0), F.lit(turn)).otherwise(F.col("ball")))
-        open_ = cut_lineage(kept.select("ngram", "set_id", "n", "ball", "d", "exact"), "open")
+        open_ = cut_lineage(kept.select("ngram", "set_id", "n", "at", "ball", "d", "exact"), "open")
         sides = open_.groupBy("ngram").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("ball") == 0, 1)).alias("free"), F.countDistinct("ball").alias("balls"))
         work = sides.where("free > 0 or balls > 1").agg(F.sum(F.col("m") * F.col("m") / 2).alias("w")).first()["w"] or 0
         if work <= limit:
             break
-    x, y = open_.alias("x"), open_.select("ngram", *[F.col(c).alias(f"{c}_2") for c in ("set_id", "n", "ball", "d", "exact")])
-    apart = (F.col("ball") == 0) | (F.col("ball") != F.col("ball_2"))
+    known = components(found)
+    member = F.coalesce("component", "set_id").alias("component")
+    open_ = cut_lineage(open_.join(known, F.col("set_id") == F.col("node"), "left").select(*open_.columns, member), "open")
+    y = open_.select("ngram", *[F.col(c).alias(f"{c}_2") for c in open_.columns if c != "ngram"])
+    apart = (F.col("component") != F.col("component_2")) & ((F.col("ball") == 0) | (F.col("ball") != F.col("ball_2")))
     metric = ~(F.col("exact") & F.col("exact_2")) | (F.abs(F.col("d") - F.col("d_2")) <= reach + 1e-9)
-    rest = x.join(y, "ngram").where((F.col("set_id") < F.col("set_id_2")) & apart & metric & _long_enough(F.col("n"), F.col("n_2"), percent))
+    possible = _long_enough(F.col("n"), F.col("n_2"), percent) & _enough_left(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent)
+    rest = open_.join(y, "ngram").where((F.col("set_id") < F.col("set_id_2")) & apart & metric & possible)
     counted = overlaps(cut_lineage(_pairs(rest, "set_id_2", "n_2"), "pairs"), sets)
-    found.append(counted.where(similar).select("a", "b"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    return found.unionByName(counted.where(similar).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
