@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.operators.joins import BROADCAST_ROWS, ROWS_PER_TASK, hot_keys, lookup_join, split_join
+from reviewmill.operators.joins import BROADCAST_FILE_BYTES, ROWS_PER_TASK, hot_keys, lookup_join, split_join
 from reviewmill.session import cut_lineage
 
 HASH_KEYS = ("organization_id", "content_hash")
@@ -84,7 +84,7 @@ def _settle_in_order(live: DataFrame, hash_keys: list[str], external_keys: list[
         missing = pdf[external_keys].isna().any(axis=1)
         for i, row in enumerate(pdf[columns].itertuples(index=False)):
             named = dict(zip(columns, row, strict=True))
-            h = tuple(named[k] for k in hash_keys)
+            h = tuple(None if pd.isna(named[k]) else named[k] for k in hash_keys)
             e = None if missing[i] else tuple(named[k] for k in external_keys)
             if h in hashes or (e is not None and e in externals):
                 continue
@@ -106,7 +106,7 @@ def ordered_dual_key_dedup(
     rows_per_task: int = ROWS_PER_TASK,
     parallel_rounds: int = PARALLEL_ROUNDS,
     sequential_rows: int = SEQUENTIAL_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_FILE_BYTES,
 ) -> DataFrame:
     """Row keys accepted when rows are taken one by one in file order.
 
@@ -116,6 +116,9 @@ def ordered_dual_key_dedup(
     parallel steps reproduce exactly: accept every live row that is first in both of its
     groups, drop the rows that share a key with one of those, repeat.
 
+    A NULL in the hash key is a value of its own (rows without a tenant share one); a NULL in the
+    external key means that none was given.
+
     Copies of one (hash, external id) pair collapse to their first row before the first
     round, so each round only sees distinct pairs. Removal splits hot keys over tasks. Long
     dependency chains are rare; when some remain after ``parallel_rounds`` and at most
@@ -129,15 +132,17 @@ def ordered_dual_key_dedup(
     if stored is not None:
         for keys in (hash_keys, external_keys):
             known = _stored_keys(stored, keys)
-            live = lookup_join(live, known, keys, "left_anti", order, max_rows=broadcast_rows, rows_per_task=rows_per_task)
-    live = cut_lineage(live, "dedup-live")
+            live = lookup_join(live, known, keys, "left_anti", order, max_bytes=broadcast_bytes, rows_per_task=rows_per_task)
+    # equality of structs takes NULL for a value
+    live = cut_lineage(live.withColumn("_hash_key", F.struct(*hash_keys)), "dedup-live")
+    hash_columns, hash_keys = hash_keys, ["_hash_key"]
     left = live.count()
     accepted: list[DataFrame] = []
     rounds = 0
     while left:
         rounds += 1
         if rounds > parallel_rounds and left <= sequential_rows:
-            accepted.append(_settle_in_order(live, hash_keys, external_keys, order))
+            accepted.append(_settle_in_order(live, hash_columns, external_keys, order))
             break
         by_hash = live.groupBy(*hash_keys).agg(F.min(F.struct(*order, *external_keys)).alias("_w"))
         by_hash = by_hash.select(*hash_keys, *[F.col(f"_w.{c}").alias(c) for c in [*order, *external_keys] if c not in hash_keys])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,27 @@ from reviewmill.operators.joins import ROWS_PER_TASK, hot_keys, lookup_join
 from reviewmill.session import cut_lineage
 
 
+def count_within(lists: pa.Array) -> pa.Array:
+    """Each list as its distinct values with their number."""
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(), return_counts=True)
+    held = np.bincount(keys // width, minlength=len(sizes))
+    cells = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(keys % width)), pa.array(counts)], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), cells)
+
+
 def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text", hashed: bool = False) -> DataFrame:
-    """``id, term, tf``; with ``hashed`` the term is its 64-bit hash, an eighth of the bytes."""
-    terms = F.col("_terms")
-    exploded = with_terms(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text")), "_text", "_terms")
-    return (
-        exploded.select("id", F.explode(term_hashes(terms) if hashed else terms).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """``id, term, tf``; with ``hashed`` the term is its 64-bit hash, an eighth of the bytes.
+
+    All terms of a document start in one row, so they are counted there, without a shuffle.
+    """
+    terms = term_hashes(F.col("_terms")) if hashed else F.col("_terms")
+    kind = "bigint" if hashed else "string"
+    listed = with_terms(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text")), "_text", "_terms").select("id", terms.alias("_terms"))
+    counted = F.arrow_udf(count_within, f"array<struct<term:{kind},tf:bigint>>")("_terms")
+    return listed.select("id", F.explode(counted).alias("_c")).select("id", "_c.term", "_c.tf")
 
 
 def document_frequency(docs: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:

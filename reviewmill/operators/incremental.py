@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.operators.joins import fits_broadcast, lookup_join
+from reviewmill.operators.joins import lookup_join, settled
 
 RESULT_KEYS = ("review_id", "model_version")
 
@@ -56,12 +56,13 @@ def upsert(
     """``existing`` with ``incoming`` merged in: on a key conflict only the ``update`` columns
     change. Both sides have one row per key.
 
-    A batch proven small is broadcast, and the stored table is not shuffled; otherwise one
-    full outer join does the work.
+    The batch is written once; with small files it is broadcast, and the stored table is not
+    shuffled; otherwise one full outer join does the work.
     """
     keys, update = list(keys), list(update)
     columns = existing.columns
-    if fits_broadcast(incoming):
+    incoming, small = settled(incoming)
+    if small:
         changes = F.broadcast(incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_hit")))
         merged = existing.join(changes, keys, "left").select(
             *[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update else F.col(c) for c in columns]
@@ -91,8 +92,8 @@ def upsert_embeddings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def mark_ready(reviews: DataFrame, scored: DataFrame) -> DataFrame:
-    """Reviews with status ``ready`` where ``scored`` (review_id) names them."""
-    ids = scored.select(F.col("review_id").alias("id")).distinct().withColumn("_scored", F.lit(True))
-    joined = lookup_join(reviews, ids, ["id"], "left", spread=["id"])
+    """Reviews with status ``ready`` where ``scored`` (organization_id, review_id) names them."""
+    ids = scored.select("organization_id", F.col("review_id").alias("id")).distinct().withColumn("_scored", F.lit(True))
+    joined = lookup_join(reviews, ids, ["organization_id", "id"], "left", spread=["id"])
     status = F.when(F.col("_scored"), F.lit("ready")).otherwise(F.col("status"))
     return joined.withColumn("status", status).select(*reviews.columns)

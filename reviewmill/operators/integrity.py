@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.operators.joins import lookup_join
+from reviewmill.operators.joins import lookup_join, settled
 from reviewmill.schemas import CASCADES, DOMAINS, FOREIGN_KEYS, MAX_LENGTHS, NOT_NULL, RANGES, UNIQUE_KEYS
 
 
@@ -70,29 +70,31 @@ def check_domain(name: str, df: DataFrame) -> DataFrame:
 def purge_cascade(tables: dict[str, DataFrame], root: str, ids: DataFrame) -> dict[str, DataFrame]:
     """The tables without the rows ``ids`` of ``root`` and all that hangs below them.
 
-    Works down the ownership tree; each table is read once per parent and is not shuffled
-    while the ids to remove are few.
+    Works down the ownership tree. The ids to remove from a table are written once and serve
+    the table and all that hangs below it; a table is not shuffled while they are few.
     """
     order = [root]
     for parent in order:
         order += [child for child, _ in CASCADES.get(parent, []) if child not in order]
     # A child comes after all of its parents that are part of this purge.
     order.sort(key=lambda t: list(FOREIGN_KEYS_ORDER).index(t))
-    gone: dict[str, DataFrame] = {root: ids.select("id").distinct()}
+    gone: dict[str, tuple[DataFrame, bool]] = {root: settled(ids.select("id").distinct())}
     left = dict(tables)
     if root in tables:
-        left[root] = lookup_join(tables[root], gone[root], ["id"], "left_anti", spread=["id"])
+        known, small = gone[root]
+        left[root] = lookup_join(tables[root], known, ["id"], "left_anti", spread=["id"], small=small)
     for name in order:
         if name == root or name not in tables:
             continue
         links = [(p, c) for p, kids in CASCADES.items() for k, c in kids if k == name and p in gone]
         removed = []
         for parent, column in links:
-            keys = gone[parent].select(F.col("id").alias(column))
-            removed.append(lookup_join(tables[name], keys, [column], "left_semi", spread=["id"]).select("id"))
-            left[name] = lookup_join(left[name], keys, [column], "left_anti", spread=["id"])
-        if removed and name in CASCADES:
-            gone[name] = reduce(DataFrame.union, removed).distinct()
+            keys, small = gone[parent][0].select(F.col("id").alias(column)), gone[parent][1]
+            if name in CASCADES:
+                removed.append(lookup_join(tables[name], keys, [column], "left_semi", spread=["id"], small=small).select("id"))
+            left[name] = lookup_join(left[name], keys, [column], "left_anti", spread=["id"], small=small)
+        if removed:
+            gone[name] = settled(reduce(DataFrame.union, removed).distinct())
     return left
 
 

@@ -1,7 +1,8 @@
 """Joins that hold when one key owns a large share of the rows.
 
-Two ways, chosen by a checked size: a lookup side proven small is broadcast; a larger one
-is shuffled, with every hot key of the big side split over several tasks.
+Two ways, chosen by a checked size: a lookup side is written once, and broadcast when its
+files are small; a larger one is shuffled, with every hot key of the big side split over
+several tasks.
 """
 
 from __future__ import annotations
@@ -12,14 +13,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.session import cut_lineage
+
 ROWS_PER_TASK = 2_000_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_FILE_BYTES = 8 << 20
 _NULL_KEY_SPLITS = 4096
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` is proven to have at most ``max_rows`` rows; stops counting beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files below a table that was just written, as the planner lists them."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def settled(df: DataFrame, max_bytes: int = BROADCAST_FILE_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` computed and written once, and whether its files are small enough to broadcast.
+
+    The limit is on compressed Parquet, well below what the keys take in memory.
+    """
+    table = cut_lineage(df, "lookup")
+    return table, stored_bytes(table) <= max_bytes
 
 
 def hot_keys(
@@ -80,11 +92,17 @@ def lookup_join(
     how: str,
     spread: Sequence[str],
     hot: DataFrame | None = None,
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_FILE_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join to a lookup side: broadcast when its row count is proven small, else split."""
-    if fits_broadcast(right, max_rows):
+    """Join to a lookup side: broadcast when its files are small, else split.
+
+    Pass ``small`` when ``right`` has been ``settled`` before.
+    """
+    if small is None:
+        right, small = settled(right, max_bytes)
+    if small:
         return left.join(F.broadcast(right), list(keys), how)
     if hot is None:
         hot = hot_keys(left.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), keys, rows_per_task)

@@ -21,7 +21,6 @@ from reviewmill.session import cut_lineage
 
 _BLOCK = 1024
 _CHUNK = 1 << 15
-_TASKS = 64
 
 
 def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -93,7 +92,7 @@ class Postings:
         """``A A'`` times one vector per document."""
         shared = self.table.sparkSession.sparkContext.broadcast(vectors)
         partial, add_up = _product_udfs(shared)
-        common = self.table.where(F.col("df") > 1).select("rows", "values").coalesce(_TASKS)
+        common = self.table.where(F.col("df") > 1).select("rows", "values")
         schema = "block long, part binary"
         summed = common.mapInArrow(partial, schema).groupBy("block").applyInArrow(add_up, schema)
         out = own[:, None] * vectors

@@ -70,7 +70,7 @@ def list_sources_for_product(sources: DataFrame, organization_id: object, produc
 
 
 def list_reviews_for_product(
-    reviews: DataFrame, organization_id: object, product_id: object, limit: int = LIST_LIMIT, offset: int = 0
+    reviews: DataFrame, organization_id: object, product_id: object, limit: int | None = LIST_LIMIT, offset: int = 0
 ) -> DataFrame:
     owned = tenant_scope(reviews, organization_id).where(F.col("product_id") == F.lit(product_id))
     return _page(owned, "occurred_at", limit, offset)

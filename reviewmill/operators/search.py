@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.vectors import as_matrix, cosine_to
-from reviewmill.operators.joins import fits_broadcast
 from reviewmill.operators.termsum import to_lists
 from reviewmill.schemas import SEARCH_LIMIT
 from reviewmill.session import cut_lineage
@@ -86,12 +85,10 @@ def search_many(
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, review_id {id_type}, similarity double"
     found: DataFrame | None = None
-    if fits_broadcast(queries, queries_per_pass):
-        blocks = [queries]
-    else:
-        blocks_needed = -(-queries.count() // queries_per_pass)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks_needed))
-        blocks = [queries.where(block == i) for i in range(blocks_needed)]
+    queries = cut_lineage(queries.select("query_id", "embedding"), "queries")
+    blocks_needed = max(1, -(-queries.count() // queries_per_pass))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks_needed))
+    blocks = [queries.where(block == i) for i in range(blocks_needed)]
     for part in blocks:
         rows = part.select("query_id", "embedding").toArrow()
         if not rows.num_rows:

@@ -44,9 +44,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Nothing but white space, the separators U+001C to U+001F among it."""
+    return ~c.rlike(f"(?U)[^{SPACE}]")
+
+
 def blank_to_null(c: Column) -> Column:
     """Whitespace-only text counts as not given."""
-    return F.nullif(strip(c), F.lit(""))
+    return F.when(~is_blank(c), strip(c))
 
 
 def validate_text(c: Column) -> tuple[Column, Column]:
@@ -55,7 +60,7 @@ def validate_text(c: Column) -> tuple[Column, Column]:
     problem = (
         F.when(c["kind"] == "absent", FIELD_REQUIRED)
         .when(c["kind"] != "string", NOT_A_STRING)
-        .when(text == "", BLANK_TEXT)
+        .when(is_blank(c["value"]), BLANK_TEXT)
     )
     return F.when(problem.isNull(), text), problem
 

@@ -21,7 +21,6 @@ LIST_LIMIT = 100
 STALE_JOB_LIMIT = 50
 STALE_AFTER_MINUTES = 15
 MAX_ATTEMPTS = 5
-CORPUS_LIMIT = 20000
 SENTIMENT_MODEL_NAME = "tfidf-logreg"
 EMBEDDING_MODEL_NAME = "tfidf-svd"
 UNKNOWN_LANGUAGE = "und"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.operators.joins import fits_broadcast
+from reviewmill.operators.joins import settled
 
 _BLOCK_KEY = ["path", "_block"]
 
@@ -33,7 +33,8 @@ def with_row_numbers(rows: DataFrame, first: int) -> DataFrame:
     offsets = splits.select(
         *_BLOCK_KEY, "_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
-    if fits_broadcast(offsets):
+    offsets, small = settled(offsets)
+    if small:
         offsets = F.broadcast(offsets)
     return (
         rows.join(offsets, _BLOCK_KEY)

@@ -73,9 +73,12 @@ def read_csv(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def _read_csv_group(spark: SparkSession, files: list[str]) -> DataFrame:
     options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    names = spark.read.options(**options).csv(files[0]).columns
-    # Positional names keep odd or repeated header cells out of the schema; the last of
-    # several equal headers wins, as it does when a record is read into a dictionary.
+    header = spark.read.options(**options | {"header": "false"}).csv(files[0]).first()
+    names = [cell or "" for cell in header]
+    names[0] = names[0].removeprefix("\ufeff")
+    # Names come from the raw first record and positions go into the schema, so odd or repeated
+    # header cells do no harm; the last of several equal headers wins, as it does when a record
+    # is read into a dictionary.
     schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", _record string"
     raw = (
         spark.read.options(**options)
@@ -87,8 +90,8 @@ def _read_csv_group(spark: SparkSession, files: list[str]) -> DataFrame:
     )
     numbered = with_row_numbers(raw, first=2)
     # Only a record with another number of cells than the header is kept whole in _record;
-    # its cells are counted outside of quoted parts.
-    bare = F.regexp_replace("_record", r'"(?:[^"]|"")*"', "")
+    # its cells are counted outside of quoted parts (a doubled quote is two parts that touch).
+    bare = F.regexp_replace("_record", r'"[^"]*+"', "")
     cells = F.when(F.col("_record").isNull(), F.lit(len(names))).otherwise(
         F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
     )

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.schemas import IMPORT_FORMATS
@@ -20,6 +20,9 @@ class MissingObject(FileNotFoundError):
     """A landing file that is not there (as opposed to one that cannot be read)."""
 
 
+FILES_PER_PARTITION = 8
+
+
 def _time_ordered_id() -> str:
     raw = bytearray((time.time_ns() // 1_000_000).to_bytes(6, "big") + os.urandom(10))
     raw[6] = 0x70 | raw[6] & 0x0F
@@ -34,6 +37,11 @@ def landing_path(root: str, organization_id: str, source_format: str) -> str:
     return f"{root.rstrip('/')}/imports/{organization_id}/{_time_ordered_id()}.{source_format}"
 
 
+def landing_owner(path: Column) -> Column:
+    """The tenant of a landed file, from its path."""
+    return F.regexp_extract(path, r"/imports/(?:organization_id=)?([^/]+)/", 1)
+
+
 def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
     """Raise ``MissingObject`` when a landing file does not exist."""
     try:
@@ -47,10 +55,11 @@ def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
 def append_reviews(reviews: DataFrame, path: str) -> None:
     """Add accepted reviews to the stored table, partitioned by tenant and product.
 
-    Rows of one partition are spread over several files, so a tenant that owns a third of
-    the rows is not written by one task.
+    Rows meet by tenant, product and one of a few shares, so that a partition has few files and
+    a tenant that owns a third of the rows is not written by one task.
     """
-    reviews.write.partitionBy(*PARTITIONS).mode("append").parquet(path)
+    share = F.pmod(F.xxhash64(*reviews.columns), F.lit(FILES_PER_PARTITION))
+    reviews.repartition(*PARTITIONS, share).write.partitionBy(*PARTITIONS).mode("append").parquet(path)
 
 
 def overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -23,12 +23,21 @@ from reviewmill.sources.tables import overwrite_batch, read_table
 FILES_PER_BATCH = 1000
 _BATCH = "batch_id bigint"
 
+COMPLETED, FAILED = "completed", "failed"
+NOT_UTF8 = "file is not valid UTF-8"
+
 
 def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
     """The stored rows of earlier batches: what a replay of this batch has to see."""
     return read_table(spark, path, f"{schema}, {_BATCH}").where(F.col("batch_id") < batch_id).drop("batch_id")
 
 
+def _overwrite(df: DataFrame, path: str, batch_id: int) -> None:
+    """Store what one batch reports; writing the same batch again replaces it."""
+    tagged = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    tagged.write.partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(each)
@@ -53,9 +62,14 @@ def stream_import(
     model: LanguageModel | None = None,
     files_per_batch: int = FILES_PER_BATCH,
     name_pattern: str | None = None,
+    errors_path: str | None = None,
 ) -> StreamingQuery:
     """Import files as they land. The stream carries file paths only (never their bytes);
-    the owner columns are expressions over ``path``."""
+    the owner columns are expressions over ``path``.
+
+    A file that fails as a whole has a summary row with status ``failed`` and no counts. With
+    ``errors_path`` the rejected rows are stored there, and failed files with row number 0.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -82,13 +96,12 @@ def stream_import(
             model=model,
         )
         overwrite_batch(result.reviews, reviews_path, batch_id)
-        summary = result.summary.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (
-            summary.write.partitionBy("batch_id")
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(summary_path)
-        )
+        failed = result.failed_files.select("path", *[F.lit(0).cast("long").alias(c) for c in result.summary.columns[1:]])
+        summary = result.summary.withColumn("status", F.lit(COMPLETED)).unionByName(failed.withColumn("status", F.lit(FAILED)))
+        _overwrite(summary, summary_path, batch_id)
+        if errors_path is not None:
+            whole = result.failed_files.select("path", F.lit(0).cast("long").alias("row_number"), F.lit(NOT_UTF8).alias("reason"))
+            _overwrite(result.errors.unionByName(whole), errors_path, batch_id)
 
     return _start(files, each, checkpoint)
 

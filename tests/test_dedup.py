@@ -42,7 +42,7 @@ CHAIN = [pair for j in range(30) for pair in (("o", f"h{j}", "s", f"e{j}"), ("o"
     ("rows", "options"),
     [
         ([("o", "h1", "s", "e1"), ("o", "h2", "s", "e1"), ("o", "h2", "s", "e2")], {}),
-        (random_rows(1, 200, 0.4), {"rows_per_task": 20, "broadcast_rows": 1}),
+        (random_rows(1, 200, 0.4), {"rows_per_task": 20, "broadcast_bytes": 0}),
         (random_rows(2, 300), {"parallel_rounds": 1}),
         (CHAIN, {"parallel_rounds": 2}),
         (CHAIN[:12], {"parallel_rounds": 1, "sequential_rows": 0}),
@@ -53,10 +53,23 @@ def test_dual_key_dedup_equals_the_loop(spark, rows, options):
     assert got == in_sequence(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"parallel_rounds": 1, "sequential_rows": 0}, {"parallel_rounds": 0}])
+def test_dual_key_dedup_without_a_tenant(spark, options):
+    rows = [(None, "h1", "s", None), (None, "h1", "s", None), (None, "h2", "s", "e1"), ("o", "h1", "s", "e1"), ("o", None, "s", None), (None, "h3", None, "e1")]
+    got = sorted(r.row_number for r in D.ordered_dual_key_dedup(frame(spark, rows), **options).collect())
+    assert got == [0, 2, 4, 5]
+
+
+def test_plans_have_no_single_partition(spark):
+    rows = frame(spark, random_rows(3, 60))
+    for df in (D.dedup_against_existing(rows, rows.limit(0)), D.dedup_external_id(rows, rows), D.ordered_dual_key_dedup(rows, rows)):
+        assert "SinglePartition" not in df._jdf.queryExecution().toString()
+
+
 def test_dual_key_dedup_against_stored(spark):
     rows = random_rows(5, 150, 0.3)
     stored = [("o0", "h1", "s0", "e2"), ("o1", "h2", "s1", None), ("o0", "h0", "s1", "e0")]
-    for options in ({}, {"rows_per_task": 10, "broadcast_rows": 1}):
+    for options in ({}, {"rows_per_task": 10, "broadcast_bytes": 0}):
         got = D.ordered_dual_key_dedup(frame(spark, rows), frame(spark, stored), **options)
         assert sorted(r.row_number for r in got.collect()) == in_sequence(rows, stored)
 

@@ -21,25 +21,25 @@ def validated(spark, paths, fmt):
 def test_csv(spark, tmp_path):
     a, b = tmp_path / "a.csv", tmp_path / "b.csv"
     a.write_text(
-        "text,rating,occurred_at,external_id,attributes\n"
-        "Great app,5,2026-08-12T14:23:00,ext-1,\n"
-        ",3,2026-08-12T14:24:00,ext-2,{}\n"
-        "Broken,9,2026-08-12T14:25:00,e3,{}\n"
+        "rating,text,external_id,occurred_at,attributes\n"
+        "2,lid does not close,kettle-7,2025-03-01 08:00,\n"
+        "1,,kettle-8,2025-03-02,{}\n"
+        "12,spout drips,kettle-9,2025-03-03,{}\n"
         "\n"
-        '"multi\nline ""q""",,2026-08-12,,"{""a"":1}"\n'
-        "short,4,2026-08-12\n"
-        "extra,4,2026-08-12,x,{},zz\n"
-        "bad,4,2026-08-12,x,{bad\n"
+        ',"steam\nand ""foam""",,2025-03-04,"{""cups"":6}"\n'
+        "3,no handle,kettle-10\n"
+        "3,two handles,kettle-11,2025-03-05,{},left over\n"
+        "3,cracked,kettle-12,2025-03-06,{cups\n"
     )
     b.write_text("occurred_at,text\r\n2026-01-01,hello\r\n", newline="")
     assert validated(spark, [str(a), str(b)], "csv") == [
-        (2, None, "Great app"),
+        (2, None, "lid does not close"),
         (3, "text: Value error, text must not be blank", None),
-        (4, "rating: Value error, rating must be between 1 and 5", "Broken"),
-        (5, None, 'multi\nline "q"'),
-        (6, "attributes: Input should be a valid dictionary", "short"),
-        (7, None, "extra"),
-        (8, "attributes: Value error, Expecting property name enclosed in double quotes: line 1 column 2 (char 1)", "bad"),
+        (4, "rating: Value error, rating must be between 1 and 5", "spout drips"),
+        (5, None, 'steam\nand "foam"'),
+        (6, "occurred_at: Input should be a valid datetime", "no handle"),
+        (7, None, "two handles"),
+        (8, "attributes: Value error, Expecting property name enclosed in double quotes: line 1 column 2 (char 1)", "cracked"),
         (2, None, "hello"),
     ]
 
@@ -47,14 +47,14 @@ def test_csv(spark, tmp_path):
 def test_jsonl(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     lines = [
-        '{"text": "Nice", "occurred_at": "2026-08-12T14:23:00"}', "not json", "", '{"text": "", "occurred_at": "x"}',
+        '{"occurred_at": "2025-03-01 08:00:30", "text": "dents"}', "kettle", "", '{"text": "", "occurred_at": "x"}',
         "[1]", '{"text":"t","occurred_at":1700000000} x', '{"text":"t","occurred_at":1,"rating":5.0,"external_id":5}',
         '{"text":"t","occurred_at":1,"rating":true}', '{"text":"a","text":"b","occurred_at":1}', '{"occurred_at":1}',
         '{"text":"a]","occurred_at":1}],[{"b":2}',
     ]
     path.write_text("\n".join(lines) + "\n")
     assert validated(spark, str(path), "jsonl") == [
-        (1, None, "Nice"), (2, "invalid json: Expecting value", None),
+        (1, None, "dents"), (2, "invalid json: Expecting value", None),
         (4, "text: Value error, text must not be blank", None), (5, NOT_OBJECT, None),
         (6, "invalid json: Extra data", None), (7, "external_id: Input should be a valid string", "t"),
         (8, None, "t"), (9, None, "b"), (10, "text: Field required", None), (11, "invalid json: Extra data", None),
@@ -62,15 +62,39 @@ def test_jsonl(spark, tmp_path):
 
 
 def test_json_array(spark, tmp_path):
-    contents = ['[{"text": "Nice", "occurred_at": "2026-08-12"}, 3, null]', '{"text": "Nice"}', "[1,", "[]"]
+    contents = ['[{"occurred_at": "2025-03-01", "text": "dents"}, 3, null]', '{"cups": 6}', "[1,", "[]"]
     for name, content in zip("abcd", contents, strict=True):
         (tmp_path / f"{name}.json").write_text(content)
     assert validated(spark, [str(tmp_path / f"{n}.json") for n in "abcd"], "json") == [
-        (1, None, "Nice"), (2, NOT_OBJECT, None), (3, NOT_OBJECT, None),
+        (1, None, "dents"), (2, NOT_OBJECT, None), (3, NOT_OBJECT, None),
         (1, "json payload must be an array of review objects", None), (1, "invalid json: Expecting value", None),
     ]
 
 
+def test_csv_with_long_quoted_text_and_a_missing_cell(spark, tmp_path):
+    path, long = tmp_path / "a.csv", 'w "" ' * 8000
+    path.write_text(f'text,occurred_at,rating\n"{long}",2025-03-01\n"{long}",2025-03-01,4,5\n')
+    want = long.replace('""', '"').strip()
+    assert validated(spark, str(path), "csv") == [(2, None, want), (3, None, want)]
+
+
+@pytest.mark.parametrize("header", ["text,text,occurred_at", "Text,text,occurred_at", "text,TEXT,text,occurred_at"])
+def test_csv_with_repeated_headers(spark, tmp_path, header):
+    path = tmp_path / "a.csv"
+    cells = ["first", *["middle"] * (header.count(",") - 2), "last"]
+    path.write_text("\ufeff" + header + "\n" + ",".join([*cells, "2025-03-01"]) + "\n")
+    assert validated(spark, str(path), "csv") == [(2, None, "last")]
+
+
+def test_separators_alone_are_blank(spark):
+    cases = ["\x1c", " \x1f\t", "\u2003", "a\x1c", ""]
+    df = spark.createDataFrame([(("string", c),) for c in cases], "c struct<kind:string,value:string>")
+    value, problem = V.validate_text(F.col("c"))
+    got = df.select(value.alias("v"), problem.alias("p"), V.blank_to_null(F.col("c.value")).alias("b")).collect()
+    assert [r.p for r in got] == [V.BLANK_TEXT] * 3 + [None, V.BLANK_TEXT]
+    assert [r.b is None for r in got] == [True, True, True, False, True]
+
+
 def test_row_numbers_over_many_splits(spark, tmp_path):
     for name, n in (("a", 4000), ("b", 1500)):
         lines = [json.dumps({"text": f"{name}{i}", "occurred_at": 1}) if i % 7 else "" for i in range(1, n + 1)]

@@ -19,7 +19,7 @@ def test_tenancy(spark):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_upsert(spark, monkeypatch, small):
-    monkeypatch.setattr(incremental, "fits_broadcast", lambda df: small)
+    monkeypatch.setattr(incremental, "settled", lambda df: (df, small))
     schema = "review_id int, model_version string, label string, score double, model_name string"
     old = spark.createDataFrame([(1, "v1", "a", 0.1, "m"), (2, "v1", None, None, "m"), (1, "v2", "c", 0.3, "m")], schema)
     new = spark.createDataFrame([(1, "v1", None, 0.9, "n"), (3, "v1", "x", 0.8, "n")], schema)
@@ -63,13 +63,13 @@ def test_streams_import_once_and_score_once(spark, tmp_path):
 
     landing = tmp_path / "imports" / "org"
     landing.mkdir(parents=True)
-    paths = {name: str(tmp_path / name) for name in ("reviews", "summary", "checkpoint", "sentiments", "scored")}
+    paths = {name: str(tmp_path / name) for name in ("reviews", "summary", "checkpoint", "sentiments", "scored", "errors")}
 
     def run():
         stream_import(
             spark, str(tmp_path / "imports"), "jsonl", paths["reviews"], paths["summary"], paths["checkpoint"],
             organization_id=F.regexp_extract("path", "imports/([^/]+)/", 1), product_id=F.lit("p"), source_id=F.lit("s"),
-            ingested_at=F.timestamp_seconds(F.lit(1)), files_per_batch=1,
+            ingested_at=F.timestamp_seconds(F.lit(1)), files_per_batch=1, errors_path=paths["errors"],
         ).awaitTermination()
         stream_score(spark, paths["reviews"], paths["sentiments"], paths["scored"], rule, "v1", F.timestamp_seconds(F.lit(2))).awaitTermination()
 
@@ -77,11 +77,15 @@ def test_streams_import_once_and_score_once(spark, tmp_path):
     (landing / "b.jsonl").write_text('{"text": "first TEXT", "occurred_at": 1}\n{"text": "second text", "occurred_at": 1}\n')
     run()
     run()
+    (landing / "broken.jsonl").write_bytes(b'{"text": "\xff", "occurred_at": 1}\n')
     (landing / "c.jsonl").write_text('{"text": "second text", "occurred_at": 1}\n{"text": "third text", "occurred_at": 1}\n')
     run()
     stored = read_table(spark, paths["reviews"], REVIEWS)
     assert sorted(r.text_normalized for r in stored.collect()) == ["first text", "second text", "third text"]
     summary = spark.read.parquet(paths["summary"])
     assert tuple(summary.selectExpr("sum(total_rows)", "sum(imported)", "sum(duplicates)").first()) == (6, 3, 3)
+    assert [r.path.endswith("broken.jsonl") for r in summary.where("status = 'failed'").collect()] == [True]
+    errors = spark.read.parquet(paths["errors"]).collect()
+    assert [(r.path.endswith("broken.jsonl"), r.row_number, r.reason) for r in errors] == [(True, 0, "file is not valid UTF-8")]
     sentiments = read_table(spark, paths["sentiments"], REVIEW_SENTIMENTS)
     assert sorted(r.review_id for r in sentiments.collect()) == sorted(r.id for r in stored.collect())
