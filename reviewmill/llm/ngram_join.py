@@ -43,6 +43,7 @@ BATCH_SETS = 1 << 15
 PAIRS_PER_TASK = 1 << 20
 LEADER_ROUNDS = 4
 DIRECT_PER_POSTING = 512
+EARLIER = 4
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -103,8 +104,21 @@ def _blobs(rows: list[tuple], names: str) -> pa.RecordBatch:
 
 
 SENT = "fragment int, batch long, kind int, a binary, b binary, c binary, d binary"
-ANSWERED = "batch long, kind int, a binary, b binary, c binary, d binary"
+ANSWERED = "batch long, kind int, fragment int, a binary, b binary, c binary, d binary"
 SEGMENT, SETS, HOT = 0, 1, 2
+MOST_HELD = (1 << 16) - 1  # the order does not tell n-grams of more sets apart by their number
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """The low 48 bits of n-grams, six bytes each."""
+    return ids.astype(np.uint32).tobytes() + (ids >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _unpacked(data: bytes, fragment: int) -> np.ndarray:
+    n = len(data) // 6
+    ids = np.frombuffer(data, np.uint32, n).astype(np.uint64)
+    ids |= np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    return ids | (np.uint64(fragment) << np.uint64(48))
 
 
 def _send(docs: DataFrame, n: int, bits: int) -> DataFrame:
@@ -136,62 +150,65 @@ def _send(docs: DataFrame, n: int, bits: int) -> DataFrame:
 def _segments(batch: int, known: dict[tuple[int, int], np.ndarray], bits: int) -> list[tuple]:
     sizes = np.array([len(s) for s in known.values()])
     ngrams = np.concatenate(list(known.values()))
+    owners = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
     order = np.argsort(ngrams)
-    ngrams, owners = ngrams[order], np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
-    starts = np.flatnonzero(np.append(True, ngrams[1:] != ngrams[:-1]))
+    ordered = ngrams[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     counts = np.diff(np.append(starts, len(ngrams)))
     hot = counts > LOCALLY_HOT
-    is_hot = np.repeat(hot, counts)
+    is_hot = np.empty(len(ngrams), bool)
+    is_hot[order] = np.repeat(hot, counts)
+    hot_owners = owners[order][np.repeat(hot, counts)]
+    ids = lambda x: ((x >> np.uint64(64 - bits)) << np.uint64(48)) | (x & LOW48)
+    hot_ids, hot_counts = ids(ordered[starts[hot]]), counts[hot].astype(np.uint32)
     keys = np.array(list(known), np.int64).T
     sets = np.concatenate([sizes.astype(np.int64), keys[0], keys[1]]).tobytes()
-    ids = ((ngrams >> np.uint64(64 - bits)) << np.uint64(48)) | (ngrams & LOW48)
-    hot_ids, hot_counts = ids[starts[hot]], counts[hot].astype(np.uint32)
-    rows = [(batch % (1 << bits), batch, SETS, sets, hot_ids.tobytes(), hot_counts.tobytes(), owners[is_hot].tobytes())]
+    rows = [(batch % (1 << bits), batch, SETS, sets, hot_ids.tobytes(), hot_counts.tobytes(), hot_owners.tobytes())]
     cool, cool_owners = ngrams[~is_hot], owners[~is_hot]
-    edges = (np.arange(1, 1 << bits, dtype=np.uint64)) << np.uint64(64 - bits)
-    cuts = np.concatenate([[0], np.searchsorted(cool, edges), [len(cool)]])
-    hot_cuts = np.concatenate([[0], np.searchsorted(ngrams[starts[hot]], edges), [len(hot_ids)]])
-    low = cool & LOW48
-    planes = [(low >> np.uint64(shift)).astype(np.uint16) for shift in (32, 16, 0)]  # the first, sorted, compresses well
+    fragment = (cool >> np.uint64(64 - bits)).astype(np.uint16)
+    order = np.argsort(fragment, kind="stable")  # within a fragment the sets stay in order
+    cool, cool_owners, fragment = cool[order] & LOW48, cool_owners[order], fragment[order]
+    cuts = np.searchsorted(fragment, np.arange((1 << bits) + 1))
+    hot_cuts = np.searchsorted(hot_ids >> np.uint64(48), np.arange((1 << bits) + 1, dtype=np.uint64))
     for f in range(1 << bits):
         a, b, x, y = cuts[f], cuts[f + 1], hot_cuts[f], hot_cuts[f + 1]
         if b > a or y > x:
-            packed = b"".join(p[a:b].tobytes() for p in planes)
-            rows.append((f, batch, SEGMENT, packed, cool_owners[a:b].tobytes(), hot_ids[x:y].tobytes(), hot_counts[x:y].tobytes()))
+            held = np.bincount(cool_owners[a:b], minlength=len(sizes)).astype(np.uint32)
+            rows.append((f, batch, SEGMENT, _packed(cool[a:b]), held.tobytes(), hot_ids[x:y].tobytes(), hot_counts[x:y].tobytes()))
     return rows
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """What a fragment knows, per batch: its shared n-grams, their owners and in how many sets
     each lies."""
-    fragment = np.uint64(key[0].as_py()) << np.uint64(48)
+    fragment = key[0].as_py()
     out, rows, cool, hot, hot_counts = [], [], [], [], []
     for batch, kind, a, b, c, d in zip(*(table.column(n).to_pylist() for n in ("batch", "kind", "a", "b", "c", "d")), strict=True):
         if kind == SETS:
-            out.append((batch, SETS, a, b, c, d))
+            out.append((batch, SETS, fragment, a, b, c, d))
             continue
-        planes = np.frombuffer(a, np.uint16).reshape(3, -1).astype(np.uint64)
-        cool.append((planes[0] << np.uint64(32)) | (planes[1] << np.uint64(16)) | planes[2] | fragment)
+        cool.append(_unpacked(a, fragment))
         hot.append(np.frombuffer(c, np.uint64))
         hot_counts.append(np.frombuffer(d, np.uint32))
-        rows.append((batch, len(cool[-1]), len(hot[-1]), np.frombuffer(b, np.uint16)))
+        held = np.frombuffer(b, np.uint32)
+        rows.append((batch, len(cool[-1]), len(hot[-1]), np.repeat(np.arange(len(held), dtype=np.uint16), held)))
     if rows:
         ngrams = np.concatenate(cool + hot)
         single = sum(r[1] for r in rows)
         weights = np.concatenate([np.ones(single, np.uint32), *hot_counts])
-        order = np.argsort(ngrams, kind="stable")  # merges sorted runs
+        order = np.argsort(ngrams)
         ordered = ngrams[order]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        held = np.add.reduceat(weights[order], starts)
-        df = np.empty(len(ngrams), np.uint32)
+        held = np.minimum(np.add.reduceat(weights[order], starts, dtype=np.int64), MOST_HELD)
+        df = np.empty(len(ngrams), np.uint16)
         df[order] = np.repeat(held, np.diff(np.append(starts, len(ngrams))))
         at, hot_at = 0, single
         for batch, n, n_hot, owners in rows:
             shared = np.flatnonzero(df[at : at + n] > 1)
             if len(shared):
-                out.append((batch, SEGMENT, ngrams[at : at + n][shared].tobytes(), owners[shared].tobytes(), df[at : at + n][shared].tobytes(), None))
+                out.append((batch, SEGMENT, fragment, _packed(ngrams[at : at + n][shared] & LOW48), owners[shared].tobytes(), df[at : at + n][shared].tobytes(), None))
             if n_hot:
-                out.append((batch, HOT, ngrams[hot_at : hot_at + n_hot].tobytes(), None, df[hot_at : hot_at + n_hot].tobytes(), None))
+                out.append((batch, HOT, fragment, ngrams[hot_at : hot_at + n_hot].tobytes(), None, df[hot_at : hot_at + n_hot].tobytes(), None))
             at, hot_at = at + n, hot_at + n_hot
     return pa.Table.from_batches([_blobs(out, ANSWERED)])
 
@@ -201,19 +218,19 @@ def _shared_sets(percent: int):  # noqa: ANN202
     many of these are in the prefix."""
 
     def shared(table: pa.Table) -> pa.Table:
-        ids, owners, dfs, hot_ids, hot_dfs = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        ids, owners, dfs, hot_ids, hot_dfs = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, np.uint16)]
         held = None
-        for kind, a, b, c, d in zip(*(table.column(n).to_pylist() for n in ("kind", "a", "b", "c", "d")), strict=True):
+        for kind, fragment, a, b, c, d in zip(*(table.column(n).to_pylist() for n in ("kind", "fragment", "a", "b", "c", "d")), strict=True):
             if kind == SETS:
                 sizes, h1, h2 = np.frombuffer(a, np.int64).reshape(3, -1)
                 held = np.frombuffer(b, np.uint64), np.frombuffer(c, np.uint32), np.frombuffer(d, np.uint16)
             elif kind == SEGMENT:
-                ids.append(np.frombuffer(a, np.uint64))
+                ids.append(_unpacked(a, fragment))
                 owners.append(np.frombuffer(b, np.uint16))
-                dfs.append(np.frombuffer(c, np.uint32))
+                dfs.append(np.frombuffer(c, np.uint16))
             else:
                 hot_ids.append(np.frombuffer(a, np.uint64))
-                hot_dfs.append(np.frombuffer(c, np.uint32))
+                hot_dfs.append(np.frombuffer(c, np.uint16))
         known, known_df = np.concatenate(hot_ids), np.concatenate(hot_dfs)
         order = np.argsort(known)
         hot_df = known_df[order][np.searchsorted(known[order], held[0])] if len(held[0]) else known_df[:0]
@@ -354,10 +371,12 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     similar = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
     front = F.posexplode(F.slice("ngrams", 1, F.col("prefix"))).alias("_i", "ngram")
     alone = F.col("n") - F.size("ngrams")  # n-grams that no other set holds come first
-    postings = sets.select("set_id", "n", alone.alias("_alone"), front).select("set_id", "n", "ngram", (F.col("_alone") + F.col("_i")).alias("at"))
+    postings = sets.select("set_id", "n", alone.alias("_alone"), "ngrams", front)
+    before = F.slice("ngrams", F.greatest(F.col("_i") + 1 - EARLIER, F.lit(1)), F.least(F.col("_i"), F.lit(EARLIER)))
+    postings = postings.select("set_id", "n", "ngram", (F.col("_alone") + F.col("_i")).alias("at"), before.alias("before"))
     lists = postings.groupBy("ngram").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    open_ = postings.join(lists.select("ngram"), "ngram").withColumn("ball", F.lit(0)).withColumn("d", F.lit(None).cast("double")).withColumn("exact", F.lit(False))
-    open_ = cut_lineage(open_, "postings")
+    postings = cut_lineage(postings.join(lists.select("ngram"), "ngram"), "postings")
+    open_ = postings.drop("before").withColumn("ball", F.lit(0)).withColumn("d", F.lit(None).cast("double")).withColumn("exact", F.lit(False))
     limit, found = DIRECT_PER_POSTING * open_.count(), None
     for turn in range(1, LEADER_ROUNDS + 1):
         fresh = F.when(F.col("ball") == 0, F.struct("set_id", "n", "at"))
@@ -386,12 +405,15 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
             break
     known = components(found)
     member = F.coalesce("component", "set_id").alias("component")
-    open_ = cut_lineage(open_.join(known, F.col("set_id") == F.col("node"), "left").select(*open_.columns, member), "open")
+    open_ = open_.join(known, F.col("set_id") == F.col("node"), "left").select(*open_.columns, member)
+    open_ = cut_lineage(open_.join(postings.select("ngram", "set_id", "before"), ["ngram", "set_id"]), "open")
     y = open_.select("ngram", *[F.col(c).alias(f"{c}_2") for c in open_.columns if c != "ngram"])
     apart = (F.col("component") != F.col("component_2")) & ((F.col("ball") == 0) | (F.col("ball") != F.col("ball_2")))
     metric = ~(F.col("exact") & F.col("exact_2")) | (F.abs(F.col("d") - F.col("d_2")) <= reach + 1e-9)
     possible = _long_enough(F.col("n"), F.col("n_2"), percent) & _enough_left(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent)
-    rest = open_.join(y, "ngram").where((F.col("set_id") < F.col("set_id_2")) & apart & metric & possible)
+    # a pair that also meets one of its n-grams before is left to that one
+    first = ~F.coalesce(F.arrays_overlap("before", "before_2"), F.lit(False))
+    rest = open_.join(y, "ngram").where((F.col("set_id") < F.col("set_id_2")) & apart & metric & possible & first)
     counted = overlaps(cut_lineage(_pairs(rest, "set_id_2", "n_2"), "pairs"), sets)
     return found.unionByName(counted.where(similar).select("a", "b")).distinct()
 
