@@ -127,7 +127,8 @@ def _best_per_query(queries: pa.Table, limit: int):
                     edge = np.partition(score, len(score) - limit)[len(score) - limit]
                     score, names = score[score >= edge], names[score >= edge]
                 score, names = np.r_[kept[j], score], np.r_[kept_ids[j], names]
-                order = sorted(range(len(score)), key=lambda i: (-score[i], names[i]))[:limit]
+                by_name = np.argsort(names, kind="stable")
+                order = by_name[np.argsort(-score[by_name], kind="stable")][:limit]
                 kept[j], kept_ids[j] = score[order], names[order]
         if id_type is None:
             return

@@ -150,17 +150,24 @@ def with_term_sums(
 
     With ``damped`` a term occurring t times counts ``1 + ln t`` times, else t times.
     ``unit`` scales by the length of the term weights (``terms``) or of the result (``sum``).
+
+    A table of several slices takes one pass per slice, over the hashes and sums alone: the rows
+    are written once, and the sums join them by row number at the end.
     """
     context = df.sparkSession.sparkContext
     count = table.slices(limit)
+    nothing = F.lit(None).cast("array<double>")
+    if count == 1:
+        shared = context.broadcast(table.load_slice(0, 1))
+        return df.withColumn(out, _sum_udf(shared, damped, unit)(F.col(hashes), nothing))
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "term-rows")
+    sums = rows.select("_row", hashes).withColumn(out, nothing)
     for index in range(count):
         shared = context.broadcast(table.load_slice(index, count))
         add = _sum_udf(shared, damped, unit if index == count - 1 else "later")
-        if index == 0:
-            df = df.withColumn(out, add(F.col(hashes), F.lit(None).cast("array<double>")))
-        else:
-            df = cut_lineage(df, "term-sums").withColumn(out, add(F.col(hashes), F.col(out)))
-    return df
+        sums = cut_lineage(sums.withColumn(out, add(F.col(hashes), F.col(out))), "term-sums")
+        shared.unpersist()
+    return rows.join(sums.select("_row", out), "_row").drop("_row")
 
 
 def _sum_udf(shared, damped: bool, unit: str | None):
