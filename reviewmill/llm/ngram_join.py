@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.words import WordValues, batches_of, segments
+from reviewmill.operators.joins import lookup_join
 from reviewmill.session import cut_lineage
 
 FRAGMENT_NGRAMS = 1 << 21
@@ -475,9 +476,17 @@ def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     found = cut_lineage(found.select("doc_id", "text_key", "group"), "groups")
     firsts = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
     alone = found.where(F.col("group").isNull() & F.col("doc_id").isNotNull()).select("doc_id", "text_key").distinct()
-    kept = firsts.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_key", F.xxhash64("text"))
-    joined = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy("doc_id"))
-    once = joined.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = firsts.unionByName(alone).withColumn("_kept", F.lit(True))
+    rows = found.where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_n"))
+    flagged = rows.join(kept, ["doc_id", "text_key"], "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_n", "_kept")
+    keys, spread = ["_id", "_key"], ["_key"]
+    flagged = cut_lineage(flagged.where("_kept is null or _n > 1"), "leaving")
+    named = docs.withColumn("_id", F.col("doc_id")).withColumn("_key", F.xxhash64("text"))
+    # texts meet the keys that leave; these are broadcast when their files are small
+    rest = lookup_join(named, flagged.select(*keys), keys, "left_anti", spread).select(*docs.columns)
+    again = flagged.where("_kept").select(*keys)
+    if again.isEmpty():
+        return rest
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))
+    once = lookup_join(named, again, keys, "left_semi", spread).withColumn("_nth", nth).where("_nth = 1")
+    return rest.unionByName(once.select(*docs.columns))
