@@ -380,7 +380,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     open_ = postings.drop("before").withColumn("ball", F.lit(0)).withColumn("d", F.lit(None).cast("double")).withColumn("exact", F.lit(False))
     limit, found = DIRECT_PER_POSTING * open_.count(), None
     for turn in range(1, LEADER_ROUNDS + 1):
-        fresh = F.when(F.col("ball") == 0, F.struct("set_id", "n", "at"))
+        # the set that comes to the n-gram first has the fewest rare ones, so it lies amid the others
+        fresh = F.when(F.col("ball") == 0, F.struct("at", "n", "set_id"))
         leaders = open_.groupBy("ngram").agg(F.min(fresh).alias("_l")).where("_l is not null")
         led = open_.drop("d", "exact").join(leaders, "ngram", "left")
         led = cut_lineage(led.select("*", F.col("_l.set_id").alias("leader"), F.col("_l.n").alias("ln"), F.col("_l.at").alias("lat")).drop("_l"), "led")
