@@ -3,6 +3,9 @@
 Host labels are names run together. A unigram model, counted over the titles and paths of all
 pages, splits each label into its likeliest words (Viterbi). A multinomial naive Bayes over the
 words of host and path, learned from all URLs that a rule decides, judges the others.
+
+Counts of words and tokens are tables without a cap. Runs of letters, hosts and paths meet them
+once each in joins; the driver sees their totals only.
 """
 
 from __future__ import annotations
@@ -10,20 +13,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import from_arrow_schema
 
+from reviewmill.operators.joins import BROADCAST_FILE_BYTES, lookup_join, stored_bytes
 from reviewmill.session import cut_lineage
 
 Rules = Sequence[tuple[str, str]]
-VOCABULARY = 1 << 16
 LONGEST_WORD = 24
-LABELS_KEPT = 1 << 16
+COUNTED_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -50,13 +55,15 @@ def parse(pages: DataFrame, rules: Rules) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """Word costs for splitting, and counts of (allow, block) per token."""
+    """Word costs for splitting and counts of (allow, block) per token, of the words and tokens at
+    hand; ``totals`` and ``distinct`` are those of all tokens, ``urls`` of all decided URLs."""
 
     costs: dict[str, float]
     unknown: float
     tokens: dict[str, tuple[int, int]]
     totals: tuple[int, int]
     urls: tuple[int, int]
+    distinct: int = 0
 
     def split(self, name: str) -> list[str]:
         """The cheapest cut of a run of letters into words; letters in no word are cut singly and
@@ -82,113 +89,154 @@ class UrlModel:
                 out.append("?" + word if single else word)
         return [w.removeprefix("?") for w in out]
 
-    def block_odds(self, tokens: Iterable[str]) -> float:
-        """Log odds of block against allow."""
-        size = len(self.tokens) + 1
-        odds = math.log((self.urls[1] + 1) / (self.urls[0] + 1))
-        for token in tokens:
-            allow, block = self.tokens.get(token, (0, 0))
-            if allow or block:
-                odds += math.log((block + 1) / (self.totals[1] + size)) - math.log((allow + 1) / (self.totals[0] + size))
-        return odds
+    def prior(self) -> float:
+        """Log odds of block against allow without any token."""
+        return math.log((self.urls[1] + 1) / (self.urls[0] + 1))
 
+    def evidence(self, found: Iterable[tuple[int, int, int]]) -> float:
+        """What tokens add to the odds, given as (times, allow, block); their order is no matter."""
+        size = self.distinct + 1
+        return math.fsum(
+            n * (math.log((block + 1) / (self.totals[1] + size)) - math.log((allow + 1) / (self.totals[0] + size)))
+            for n, allow, block in found
+        )
 
-class UrlTokens:
-    """Tokens of a host and path: the words of every host label, and the path's words, numbers by
-    their length. Labels are split once per Python worker, LABELS_KEPT of them are remembered."""
 
-    def __init__(self, model: UrlModel):
-        self.model = model
-        self.known: dict[str, list[str]] = {}
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most ROWS_AT_ONCE."""
+    rows = iter(rows)
+    while part := list(islice(rows, ROWS_AT_ONCE)):
+        columns = zip(*part, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def label(self, label: str) -> list[str]:
-        if label not in self.known:
-            if len(self.known) >= LABELS_KEPT:
-                self.known.clear()
-            runs = _LETTERS.findall(label)
-            self.known[label] = [w for run in runs for w in ([f"#{len(run)}"] if run.isdigit() else self.model.split(run))]
-        return self.known[label]
 
-    def of(self, host: str, path: str) -> list[str]:
-        words = [f"h:{w}" for label in host.split(".") for w in self.label(label)]
-        return words + [f"p:#{len(w)}" if w.isdigit() else f"p:{w.lower()}" for w in _LETTERS.findall(path)]
+def _exploded(rows: DataFrame, find: Callable[..., Iterable[tuple]], **columns: pa.DataType) -> DataFrame:
+    """What ``find`` makes of each row of ``rows``, as rows of ``columns``."""
+    schema = pa.schema(list(columns.items()))
 
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batches((x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in find(*row)), schema)
 
-def _counted(parsed: DataFrame, column: str, count: object) -> DataFrame:
-    """Sums per key of what ``count`` finds in each batch: summed in the task first."""
-    return parsed.mapInArrow(count, f"{column}, n long").groupBy(*[c.split()[0] for c in column.split(", ")]).agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(found, from_arrow_schema(schema))
 
 
-def fit_urls(parsed: DataFrame, rules: Rules, text: str = "html", vocabulary: int = VOCABULARY) -> UrlModel:
-    """Count words over all pages and tokens over all URLs that a rule decides.
+def _small(table: DataFrame) -> bool:
+    return stored_bytes(table) <= BROADCAST_FILE_BYTES
 
-    The ``vocabulary`` commonest words, and as many tokens, make the model; its size is bounded
-    by that number. Without any decided URL every other one is allowed.
-    """
+
+def count_words(parsed: DataFrame, text: str = "html") -> DataFrame:
+    """``word, n``: how often words of 2 to LONGEST_WORD letters stand in titles and paths."""
     words_of = F.lower(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1))
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
         for batch in batches:
-            counts: Counter[str] = Counter()
             for title, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for source in (title, path.lower()):
                     counts.update(w for w in _LETTERS.findall(source) if 1 < len(w) <= LONGEST_WORD and not w.isdigit())
-            yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+                if len(counts) >= COUNTED_AT_ONCE:
+                    yield from _batches(counts.items(), schema)
+                    counts.clear()
+        yield from _batches(counts.items(), schema)
 
-    counted = _counted(parsed.select(words_of.alias("title"), "path"), "word string", words)
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    total = sum(r["n"] for r in top) + 1
-    costs = {r["word"]: math.log(total / r["n"]) for r in top}
-    model = UrlModel(costs, math.log(total) + 2.0, {}, (0, 0), (0, 0))
+    counted = parsed.select(words_of.alias("title"), "path").mapInArrow(words, "word string, n long")
+    return cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
 
-    verdicts = dict(rules)
-    shared = parsed.sparkSession.sparkContext.broadcast(model)
 
-    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = UrlTokens(shared.value)
-        for batch in batches:
-            counts: Counter[tuple[str, str]] = Counter()
-            for host, path, rule in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                verdict = verdicts[rule]
-                counts.update((verdict, token) for token in split.of(host, path))
-                counts[verdict, ""] += 1
-            names = list(counts)
-            yield pa.record_batch(
-                [pa.array([v for v, _ in names], pa.string()), pa.array([t for _, t in names], pa.string()), pa.array([counts[x] for x in names], pa.int64())],
-                names=["verdict", "token", "n"],
-            )
-
-    decided = parsed.where(F.col("rule").isNotNull()).select("host", "path", "rule")
-    by_token = _counted(decided, "verdict string, token string", tokens).groupBy("token").agg(
-        *[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")]
+def split_runs(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """``run, words`` for every run of letters in ``host``: its likeliest cut. Each run meets the
+    counts of its own substrings."""
+    total = (words.agg(F.sum("n").alias("n")).first()["n"] or 0) + 1
+    unknown = math.log(total) + 2.0
+
+    def letters(host: str) -> Iterator[tuple[str]]:
+        return ((run,) for run in _LETTERS.findall(host) if not run.isdigit())
+
+    def substrings(key: str, run: str) -> Iterator[tuple[str, str]]:
+        yield key, run[:LONGEST_WORD]
+        for end in range(2, len(run) + 1):
+            for start in range(max(0, end - LONGEST_WORD), end - 1):
+                yield key, run[start:end]
+
+    def cut(run: str, found: list[dict]) -> Iterator[tuple[str, list[str]]]:
+        costs = {f["word"]: math.log(total / f["n"]) for f in found}
+        yield run, UrlModel(costs, unknown, {}, (0, 0), (0, 0)).split(run)
+
+    runs = cut_lineage(_exploded(hosts.select("host"), letters, run=pa.string()).distinct().select(F.md5("run").alias("key"), "run"), "url-runs")
+    parts = _exploded(runs, substrings, key=pa.string(), word=pa.string())
+    known = lookup_join(parts, words, ["word"], "left", ["key"], small=_small(words))
+    known = known.groupBy("key").agg(F.collect_set(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("found"))
+    known = runs.join(known, "key").select("run", "found")
+    return cut_lineage(_exploded(known, cut, run=pa.string(), words=pa.list_(pa.string())), "url-cuts")
+
+
+def _item(column: str) -> Column:
+    """A host or path in the rows of its tokens, however long it is."""
+    return F.concat(F.lit(column[0] + ":"), F.md5(column)).alias("item")
+
+
+def url_tokens(hosts: DataFrame, paths: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``item, token, times, allow, block``: tokens of each host and each path, known by ``_item``,
+    with the decided URLs that have it. They are the words of hosts and paths, and numbers by their
+    length."""
+
+    def of_host(item: str, host: str, allow: int, block: int) -> Iterator[tuple]:
+        for run, n in Counter(_LETTERS.findall(host)).items():
+            yield (item, None, f"#{len(run)}", n, allow, block) if run.isdigit() else (item, run, None, n, allow, block)
+
+    def of_path(item: str, path: str, allow: int, block: int) -> Iterator[tuple]:
+        found = Counter(f"p:#{len(w)}" if w.isdigit() else f"p:{w.lower()}" for w in _LETTERS.findall(path))
+        return ((item, token, n, allow, block) for token, n in found.items())
+
+    counts = {"times": pa.int64(), "allow": pa.int64(), "block": pa.int64()}
+    in_hosts = _exploded(hosts.select(_item("host"), "*"), of_host, item=pa.string(), run=pa.string(), number=pa.string(), **counts)
+    in_hosts = lookup_join(in_hosts, cuts, ["run"], "left", ["item"], small=_small(cuts))
+    in_hosts = in_hosts.withColumn("word", F.explode(F.coalesce("words", F.array("number"))))
+    in_hosts = in_hosts.withColumn("token", F.concat(F.lit("h:"), "word")).select("item", "token", *counts)
+    in_paths = _exploded(paths.select(_item("path"), "*"), of_path, item=pa.string(), token=pa.string(), **counts)
+    return cut_lineage(in_hosts.unionByName(in_paths), "url-tokens")
+
+
+def judge_items(tokens: DataFrame, urls: tuple[int, int]) -> tuple[DataFrame, UrlModel]:
+    """``item, odds`` (what its tokens add) of ``url_tokens``, and the totals of the model."""
+    by_token = tokens.where("allow + block > 0").groupBy("token").agg(
+        *[F.sum(F.col("times") * F.col(v)).alias(v) for v in ("allow", "block")]
     )
-    by_token = cut_lineage(by_token, "url-tokens")
-    sums = by_token.where("token <> ''").agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).first()
-    urls = by_token.where("token = ''").agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).first()
-    kept = by_token.where("token <> ''").orderBy(F.desc(F.col("allow") + F.col("block")), "token").limit(vocabulary).collect()
-    model.tokens = {r["token"]: (r["allow"], r["block"]) for r in kept}
-    model.totals, model.urls = (sums["a"] or 0, sums["b"] or 0), (urls["a"] or 0, urls["b"] or 0)
-    return model
+    by_token = cut_lineage(by_token, "url-token-counts")
+    sums = by_token.agg(F.sum("allow").alias("a"), F.sum("block").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    model = UrlModel({}, 0.0, {}, (sums["a"] or 0, sums["b"] or 0), urls, sums["n"])
+
+    def odds(item: str, found: list[dict]) -> Iterator[tuple[str, float]]:
+        yield item, model.evidence((f["times"], f["allow"], f["block"]) for f in found)
+
+    known = lookup_join(tokens.select("item", "token", "times"), by_token, ["token"], "inner", ["item"], small=_small(by_token))
+    known = known.groupBy("item").agg(F.collect_list(F.struct("times", "allow", "block")).alias("found"))
+    return cut_lineage(_exploded(known, odds, item=pa.string(), odds=pa.float64()), "url-odds"), model
 
 
 def judge(pages: DataFrame, rules: Rules, text: str = "html") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, block_odds``: the rule's verdict, else the
-    method's (block where the odds favour it, else allow). Rows are kept as they are, repeated
-    ones too; columns of these names are replaced."""
+    method's (block where the odds favour it, else allow; without any decided URL all are allowed).
+    Rows are kept as they are, repeated ones too; columns of these names are replaced."""
     parsed = parse(pages, rules)
-    model = fit_urls(parsed, rules, text)
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # 2 * VOCABULARY entries
-    verdicts = dict(rules)
-    kept = [c for c in parsed.columns if c not in (text, "verdict", "block_odds")]
-    at = [kept.index(c) for c in ("host", "path", "rule")]
-    plain = parsed.select(*[F.col(f"`{c}`") for c in kept])
+    verdicts = [(v, F.col("rule").isin([r for r, x in rules if x == v])) for v in ("allow", "block")]
+    decided = [F.count(F.when(fits, 1)).alias(v) for v, fits in verdicts]
+    hosts, paths = (cut_lineage(parsed.groupBy(c).agg(*decided), f"url-{c}s") for c in ("host", "path"))
+    urls = hosts.agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).first()
+    cuts = split_runs(hosts, count_words(parsed, text))
+    items, model = judge_items(url_tokens(hosts, paths, cuts), (urls["a"] or 0, urls["b"] or 0))
 
-    def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = UrlTokens(shared.value)
-        for batch in batches:
-            odds = [shared.value.block_odds(split.of(h, p)) for h, p in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), strict=True)]
-            rules_found = batch.column(at[2]).to_pylist()
-            verdict = [verdicts[r] if r is not None else "block" if o > 0 else "allow" for r, o in zip(rules_found, odds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], names=[*kept, "verdict", "block_odds"])
-
-    return plain.mapInArrow(judged, StructType([*plain.schema]).add("verdict", "string").add("block_odds", "double"))
+    kept = [c for c in parsed.columns if c not in (text, "verdict", "block_odds")]
+    rows = parsed.select(*[F.col(f"`{c}`") for c in kept])
+    total = F.lit(model.prior())
+    for column in ("host", "path"):
+        part = items.where(F.col("item").startswith(column[0] + ":")).select(F.col("item").alias("_item"), F.col("odds").alias(f"_{column}_odds"))
+        rows = rows.withColumn("_item", _item(column))
+        rows = lookup_join(rows, part, ["_item"], "left", ["url", F.spark_partition_id()], small=_small(items)).drop("_item")
+        total = total + F.coalesce(f"_{column}_odds", F.lit(0.0))
+    verdict = F.when(F.col("rule").isNull(), F.when(total > 0, "block").otherwise("allow"))
+    for v, fits in verdicts:
+        verdict = verdict.when(fits, v)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], verdict.alias("verdict"), total.alias("block_odds"))

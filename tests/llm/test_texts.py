@@ -1,6 +1,7 @@
 """Token files, packing, secrets, URL filters and the two classifiers on small and odd input."""
 
 import collections
+import itertools
 import math
 import re
 import zlib
@@ -244,6 +245,19 @@ def test_url_rules_and_verdicts(spark):
     assert {r["verdict"] for r in urls.judge(pages.where("url like 'ftp%'"), RULES).collect()} == {"allow"}
 
 
+def test_url_words_and_tokens_beyond_any_vocabulary(spark):
+    junk = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjm", repeat=6), 70_000)]
+    ends = ["".join(w) for w in itertools.product("lepy", repeat=2)]
+    rows = [("http://bcd.net/", "<title>" + " ".join(junk * 2) + "</title>"), ("http://bcd.net/", "<title>kazino wurst</title>")]
+    rows += [(f"http://{host}.com/{way}/" + "/".join(junk), None) for host, way in (("bcdb", "de"), ("bcdf", "fr"))]
+    rows += [("http://bcdg.com/de/roulette", None), ("http://bcdh.com/fr/breakfast", None)]
+    rows += [(f"http://{host}{end}.com/{way}/x", None) for host, way in (("kazino", "de"), ("wurst", "fr")) for end in ends]
+    rows += [("http://bcd.net/roulette", None), ("http://bcd.net/breakfast", None), ("http://kazinopppp.net/", None), ("http://wurstpppp.net/", None)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = [r["verdict"] for r in urls.judge(pages, RULES).orderBy("page_id").collect()]
+    assert got[-4:] == ["block", "allow", "block", "allow"]
+
+
 def test_viterbi_is_the_cheapest_cut():
     costs = {"good": 2.0, "goodn": 6.0, "news": 2.0, "ews": 1.0, "go": 1.5, "od": 1.5}
     model = urls.UrlModel(costs, 9.0, {}, (0, 0), (0, 0))
