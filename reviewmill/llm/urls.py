@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and for other URLs the words their hosts are made of.
 
-Host labels are names run together. A unigram model, counted over the titles and paths of all
-pages, splits each label into its likeliest words (Viterbi). A multinomial naive Bayes over the
+Host labels are names run together. A unigram model, counted over the visible texts, titles
+and paths of all pages, splits each label into its likeliest words (Viterbi). A multinomial naive Bayes over the
 words of host and path, learned from all URLs that a rule decides, judges the others.
 
 Counts of words and tokens are tables without a cap. Runs of letters, hosts and paths meet them
@@ -10,6 +10,7 @@ once each in joins; the driver sees their totals only.
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter
@@ -30,6 +31,14 @@ LONGEST_WORD = 24
 COUNTED_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+|\d+")
+_TAG_END = r"""(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*(?:>|\Z)"""
+#: Comments, code and tags. An open one reaches to the end, as in browsers.
+_UNSEEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(script|style|template)(?=[\s/>]){_TAG_END}.*?(?:(?=</\1[\s/>])|\Z)|"
+    rf"</?(?P<inline>a|abbr|b|bdi|bdo|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var|wbr)(?=[\s/>]){_TAG_END}|"
+    rf"</?[a-z]{_TAG_END}|<[!?/][^>]*(?:>|\Z)",
+    re.IGNORECASE | re.DOTALL,
+)
 
 
 def parse(pages: DataFrame, rules: Rules) -> DataFrame:
@@ -125,23 +134,28 @@ def _small(table: DataFrame) -> bool:
     return stored_bytes(table) <= BROADCAST_FILE_BYTES
 
 
+def visible_text(page: str) -> str:
+    """Title and text of a page without tags, comments and code. Tags that flow with the text do
+    not end a word, others do."""
+    return html.unescape(_UNSEEN.sub(lambda tag: "" if tag["inline"] else " ", page))
+
+
 def count_words(parsed: DataFrame, text: str = "html") -> DataFrame:
-    """``word, n``: how often words of 2 to LONGEST_WORD letters stand in titles and paths."""
-    words_of = F.lower(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1))
+    """``word, n``: how often words of 2 to LONGEST_WORD letters stand in texts, titles and paths."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
-            for title, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for source in (title, path.lower()):
-                    counts.update(w for w in _LETTERS.findall(source) if 1 < len(w) <= LONGEST_WORD and not w.isdigit())
+            for page, path in zip(*batch.columns, strict=True):
+                for source in (visible_text(page.as_py() or ""), path.as_py()):
+                    counts.update(w for w in _LETTERS.findall(source.lower()) if 1 < len(w) <= LONGEST_WORD and not w.isdigit())
                 if len(counts) >= COUNTED_AT_ONCE:
                     yield from _batches(counts.items(), schema)
                     counts.clear()
         yield from _batches(counts.items(), schema)
 
-    counted = parsed.select(words_of.alias("title"), "path").mapInArrow(words, "word string, n long")
+    counted = parsed.select(F.col(f"`{text}`"), "path").mapInArrow(words, "word string, n long")
     return cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
 
 

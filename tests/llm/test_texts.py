@@ -258,6 +258,18 @@ def test_url_words_and_tokens_beyond_any_vocabulary(spark):
     assert got[-4:] == ["block", "allow", "block", "allow"]
 
 
+def test_url_words_of_whole_pages(spark):
+    page = """<!DOCTYPE html><title>Ti&eacute;tle</title><style>p{rotstyle:0}</style><script>var rot="</p>";</script>
+        <!-- rot <p> --><nav><li>on<li>off</nav><p title="a>rot" class='x'>kaz<b>ino</b><br>wurst &lt;rot&gt; 1 < 2 <"""
+    assert urls.visible_text(page).split() == ["Tiétle", "on", "off", "kazino", "wurst", "<rot>", "1", "<", "2", "<"]
+    assert [urls.visible_text(x) for x in ("", "a<b", "x<script>y", "x<!--y", "x</p", "<" * 9)] == ["", "a ", "x ", "x ", "x ", "<" * 9]
+    ends = ["".join(w) for w in itertools.product("lepy", repeat=2)]
+    rows = [(f"http://{host}{end}.com/{way}/x", "<title>news</title><p>kazino wurst</p>") for host, way in (("kazino", "de"), ("wurst", "fr")) for end in ends]
+    rows += [("http://kazinopppp.net/", None), ("http://wurstpppp.net/", None)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert [r["verdict"] for r in urls.judge(pages, RULES).orderBy("page_id").collect()][-2:] == ["block", "allow"]
+
+
 def test_viterbi_is_the_cheapest_cut():
     costs = {"good": 2.0, "goodn": 6.0, "news": 2.0, "ews": 1.0, "go": 1.5, "od": 1.5}
     model = urls.UrlModel(costs, 9.0, {}, (0, 0), (0, 0))
