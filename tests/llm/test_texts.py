@@ -202,6 +202,23 @@ def test_secret_spans(spark):
     assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_secrets_beside_words_and_placeholders():
+    key = "Zx8Kq2Lm9Rt4Vb7Nw3Py"
+    rng = np.random.default_rng(3)
+    blob = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 600))
+    for before in ("config/sample/keys/", "services/production/internal/credentials/", "your_key=", "a/is/to/by/in/on/of/at/it/we/he/me/", "EXAMPLE1/", "2024/0123456789/"):
+        text = f"see {before}{key}/and/more/words/behind it"
+        (a, b), = secrets.entropy_spans(text)
+        assert a <= text.index(key) and b >= text.index(key) + len(key) and text[a:b].count("/") <= 12
+    (a, b), = secrets.entropy_spans(f"config/sample/keys/{key}")
+    assert a == len("config/sample/keys/")
+    chance = blob[:300] + "dUmMy" + blob[300:]
+    assert secrets.entropy_spans(blob) == [(0, 600)] and secrets.entropy_spans(chance) == [(0, 605)]
+    assert secrets.entropy_spans("dUmMy" + blob) == [(0, 605)]
+    for quiet in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "123e4567-e89b-12d3-a456-426614174000", "dummy" + key, "docs/2024/some-long-title-in-plain-words-3", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        assert secrets.entropy_spans(quiet) == [], quiet
+
+
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
