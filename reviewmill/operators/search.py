@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from reviewmill.session import cut_lineage
 QUERIES_PER_PASS = 1024
 # Similarities closer than this are ties, broken by id.
 _DIGITS = 12
+# Hash tables of an index. With 8 bits and one flipped bit a vector at cosine 0.3 is met in 98 of 100 cases.
+TABLES = 32
 
 
 def in_scope(
@@ -81,6 +83,11 @@ def search_many(
     pair is ever a row and each task sends at most ``limit`` rows per query.
     """
     vectors = in_scope(embeddings, **scope).select("review_id", "embedding")
+    return _search_blocks(vectors, queries, limit, queries_per_pass, lambda rows: _best_per_query(rows, limit))
+
+
+def _search_blocks(vectors: DataFrame, queries: DataFrame, limit: int, queries_per_pass: int, searcher: Callable) -> DataFrame:
+    """The best of what ``searcher`` finds in each task, one block of queries after the other."""
     id_type = vectors.schema["review_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, review_id {id_type}, similarity double"
@@ -93,7 +100,7 @@ def search_many(
         rows = part.select("query_id", "embedding").toArrow()
         if not rows.num_rows:
             continue
-        best = vectors.mapInArrow(_best_per_query(rows, limit), schema)
+        best = vectors.mapInArrow(searcher(rows), schema)
         found = best if found is None else found.unionByName(best)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], schema)
@@ -101,12 +108,15 @@ def search_many(
     return found.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= limit)
 
 
-def _best_per_query(queries: pa.Table, limit: int):
+def _best_per_query(queries: pa.Table, limit: int, hashed: tuple[int, int, int] | None = None):
+    """With ``hashed`` (tables, bits, seed) only vectors whose ``buckets`` are met count."""
     width = len(queries["embedding"][0])
     matrix, _ = as_matrix(queries["embedding"].combine_chunks(), width)
     lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     matrix = matrix / np.where(lengths > 0, lengths, 1)[:, None]
     query_ids = queries["query_id"].combine_chunks()
+    if hashed:
+        own, close = _bucket_ids(matrix, *hashed), np.array([i.bit_count() <= 1 for i in range(1 << hashed[1])])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_ids: list[np.ndarray] = [np.array([], dtype=object)] * len(matrix)
@@ -117,11 +127,16 @@ def _best_per_query(queries: pa.Table, limit: int):
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             x, given = as_matrix(batch.column(1), width)
             x, ids = x[given], ids[given]
+            if hashed:
+                buckets = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, hashed[0])[given]
             norms = np.sqrt(np.einsum("ij,ij->i", x, x))
             x = x / np.where(norms > 0, norms, 1)[:, None]
             sims = np.round(x @ matrix.T, _DIGITS)
             for j in range(len(matrix)):
                 score, names = sims[:, j], ids
+                if hashed:
+                    met = close[buckets ^ own[j]].any(axis=1)
+                    score, names = score[met], names[met]
                 if len(score) > limit:
                     # All rows at or above the limit-th best, so that ties stay comparable.
                     edge = np.partition(score, len(score) - limit)[len(score) - limit]
@@ -157,7 +172,7 @@ def _bucket_ids(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.nd
 
 
 def ann_index(
-    embeddings: DataFrame, width: int, tables: int = 8, bits: int = 8, seed: int = 13
+    embeddings: DataFrame, width: int, tables: int = TABLES, bits: int = 8, seed: int = 13
 ) -> DataFrame:
     """Add ``buckets``: the hash buckets of each vector, to be stored next to it.
 
@@ -176,7 +191,7 @@ def ann_search(
     index: DataFrame,
     query: Sequence[float],
     limit: int = SEARCH_LIMIT,
-    tables: int = 8,
+    tables: int = TABLES,
     bits: int = 8,
     seed: int = 13,
     near_buckets: bool = True,
@@ -197,3 +212,19 @@ def ann_search(
     if not candidates.limit(limit).count() >= limit:
         candidates = scoped
     return nearest(candidates, query, limit)
+
+
+def ann_search_many(
+    index: DataFrame,
+    queries: DataFrame,
+    limit: int = SEARCH_LIMIT,
+    tables: int = TABLES,
+    bits: int = 8,
+    seed: int = 13,
+    queries_per_pass: int = QUERIES_PER_PASS,
+    **scope: object,
+) -> DataFrame:
+    """``search_many`` over the vectors that ``ann_search`` would look at, and no others: a query
+    that meets fewer than ``limit`` has fewer rows."""
+    vectors = in_scope(index, **scope).select("review_id", "embedding", "buckets")
+    return _search_blocks(vectors, queries, limit, queries_per_pass, lambda rows: _best_per_query(rows, limit, (tables, bits, seed)))

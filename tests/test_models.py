@@ -233,3 +233,17 @@ def test_search_many_and_ann(spark):
     close = {r.review_id for r in Q.ann_search(index, query, 10, tables=6, bits=4).collect()}
     assert len(exact & close) >= 8
     assert Q.ann_search(index, query, 300, tables=6, bits=4).count() == 300
+
+
+def test_hashed_search_finds_far_neighbours(spark):
+    rng = np.random.default_rng(4)
+    points = rng.standard_normal((1500, 64))
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)]
+    stored = spark.createDataFrame(rows, "review_id long, embedding array<double>").repartition(4)
+    index = Q.ann_index(stored, 64).cache()
+    asked = stored.where("review_id % 50 = 0").select(F.col("review_id").alias("query_id"), "embedding")
+    found = {(r.query_id, r.review_id) for r in Q.ann_search_many(index, asked, 10).collect()}
+    exact = {(r.query_id, r.review_id) for r in Q.search_many(stored, asked, 10).collect()}
+    assert len(exact) == len(found) == 300 and len(exact & found) >= 270
+    one = {r.review_id for r in Q.ann_search(index, [float(v) for v in points[50]], 10).collect()}
+    assert one == {r for q, r in found if q == 50}
