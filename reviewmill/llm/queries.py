@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import cover_tree, mixing, ngram_join, packing, quality, secrets, stable_search, tokenfile, toxicity, urls
+from reviewmill.llm import byte_bpe, cover_tree, mixing, ngram_join, packing, quality, secrets, stable_search, tokenfile, toxicity, urls
 from reviewmill.llm.labels import fold_of
 from reviewmill.session import cut_lineage, scratch_path, spread
 
@@ -166,3 +166,18 @@ def op10_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "size", "source_size", "target", "taken", "rounds"
     )
+
+
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@register()
+def op13_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.decode(coded, BYTE_RANKS, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
