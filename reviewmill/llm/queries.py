@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import byte_bpe, cover_tree, mixing, ngram_join, packing, quality, secrets, stable_search, tokenfile, toxicity, urls
+from reviewmill.llm import byte_bpe, cover_tree, mixing, ngram_join, packing, periodic_runs, quality, secrets, stable_search, tokenfile, toxicity, urls
 from reviewmill.llm.labels import fold_of
 from reviewmill.session import cut_lineage, scratch_path, spread
 
@@ -168,6 +168,37 @@ def op10_mixture(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def with_loops(docs: DataFrame) -> DataFrame:
+    """``docs`` (``doc_id, text``) with texts that loop, for ids whose crc32 ends in 0: from a word
+    on, given by the crc32, a few words come again and again. Their words stay as many."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    found = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    found = found.withColumn("n", F.size("w"))  # -1 or NULL where there are no words to loop
+    found = found.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")).cast("int"))
+    found = found.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    loop = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    whole = F.concat_ws(" ", F.expr("slice(w, 1, a)"), loop)
+    return found.select("doc_id", F.when(F.col("a").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
+
+
+@register()
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.detect(with_loops(table(spark, sf, "documents")))
+    found = found.withColumn("top", F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))))
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.col2")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.col3")).alias("period"),
+        F.expr("(1000 * top.length) div -top.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(said, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
