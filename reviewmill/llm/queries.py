@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import byte_bpe, cover_tree, mixing, ngram_join, packing, periodic_runs, quality, secrets, stable_search, tokenfile, toxicity, urls
+from reviewmill.llm import byte_bpe, cover_tree, hard_negatives, mixing, ngram_join, packing, periodic_runs, quality, secrets, stable_search, tokenfile, toxicity, urls
 from reviewmill.llm.labels import fold_of
 from reviewmill.session import cut_lineage, scratch_path, spread
 
@@ -168,6 +168,41 @@ def op10_mixture(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+NEGATIVES_SQL = """
+WITH usable AS MATERIALIZED (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable),
+products AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, CAST(sum(a.x * c.x) AS BIGINT) AS score
+  FROM parts a JOIN parts c ON a.i = c.i AND a.vec_id <> c.vec_id
+  WHERE a.vec_id % 50 = 0
+  GROUP BY a.vec_id, c.vec_id),
+scored AS MATERIALIZED (
+  SELECT p.*, a.label = c.label AS same FROM products p JOIN usable a ON a.vec_id = p.anchor_id JOIN usable c ON c.vec_id = p.id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negatives AS (
+  SELECT p.*, n.id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  WHERE 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE place <= 3"""
+
+
+@register(NEGATIVES_SQL)
+def op11_hilbert_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("x", lambda c: F.floor(c * F.lit(256.0)).cast("long"))
+    vectors = table(spark, sf, "embeddings")
+    return hard_negatives.mine(vectors, "vec_id", "embedding", shifted, whole, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 def with_loops(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id, text``) with texts that loop, for ids whose crc32 ends in 0: from a word
     on, given by the crc32, a few words come again and again. Their words stay as many."""
