@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import string
+from functools import lru_cache
 
 import numpy as np
 
-from reviewmill.llm.words import KNOWN_WORDS, segments
+from reviewmill.llm.words import TABLE_BYTES, WORD_BYTES, segments
 
 MARKS = string.punctuation.replace("'", "")
 #: Below this code point no letter joins its neighbour under NFC and lower case is by letter.
@@ -84,8 +85,8 @@ class _Numbers(dict):
         return number
 
 
-class Encoder:
-    """Ids of texts, by distinct word; forgets all at ``KNOWN_WORDS`` words."""
+class Library:
+    """The tokenizer of a file, and what is read from it once; of fixed size."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,15 +95,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        letters = [self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x130) if chr(i).isalpha()]
         # a letter beyond ASCII meets the model as two stand-ins for its UTF-8 bytes
-        self.stand_ins = dict(zip((i for i in range(0xC0, 0x130) if chr(i).isalpha()), letters, strict=True))
-        for i in (0xAA, 0xB5, 0xBA):
-            self.stand_ins[i] = self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0]
+        letters = [i for i in (0xAA, 0xB5, 0xBA, *range(0xC0, 0x130)) if chr(i).isalpha()]
+        self.stand_ins = {i: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in letters}
+
+
+@lru_cache(maxsize=2)
+def library(path: str) -> Library:
+    return Library(path)
+
+
+class Encoder:
+    """Ids of texts, by distinct word; forgets all at TABLE_BYTES."""
+
+    def __init__(self, path: str):
+        held = library(path)
+        self.tokenizer, self.model, self.vocabulary, self.stand_ins = held.tokenizer, held.model, held.vocabulary, held.stand_ins
         self._empty()
 
     def _empty(self) -> None:
-        self.words, self.word_ids = _Numbers(), _Rows()
+        self.words, self.word_ids, self.cost = _Numbers(), _Rows(), 0
 
     def _word(self, text: str) -> list[int]:
         parts = parts_of(text)
@@ -119,13 +131,14 @@ class Encoder:
         if fresh:
             new = [self._word(word.decode("utf-8", "replace")) for word in fresh]
             lengths = np.fromiter(map(len, new), np.int64, len(new))
+            self.cost += WORD_BYTES * len(fresh) + sum(map(len, fresh)) + 8 * int(lengths.sum())
             self.word_ids.append(np.fromiter((i for ids in new for i in ids), np.uint32, int(lengths.sum())), lengths)
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of one whole text."""
         out = []
         for segment in segments(folded(text)):
-            if len(self.words) > KNOWN_WORDS:
+            if self.cost > TABLE_BYTES:
                 self._empty()
             words = segment.split()
             numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
@@ -137,11 +150,6 @@ class Encoder:
         return np.append(self.encode(text), np.uint32(end))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker for the tokenizer file at ``path``."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """An encoder for one task. Its words go with it; the worker keeps the tokenizer only."""
+    return Encoder(path)

@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT_BYTES = 1 << 20
-KNOWN_WORDS = 1 << 20
+TABLE_BYTES = 48 << 20
+WORD_BYTES = 170  # what a word costs in a table besides its letters and its value
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -40,12 +41,12 @@ class WordValues(dict):
     """One value per distinct word, computed for the new words of a batch together.
 
     ``compute`` gets new words and returns one array row for each. The table is emptied at
-    ``limit`` words, so its memory is bounded whatever the vocabulary.
+    ``limit`` bytes, so its memory is bounded whatever the vocabulary; it goes with its task.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = KNOWN_WORDS):
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = TABLE_BYTES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.cost = compute, limit, 0
         self.fresh: list[bytes] = []
         self.values: np.ndarray | None = None
         self.used = 0
@@ -62,6 +63,7 @@ class WordValues(dict):
         if not self.fresh:
             return
         new = self.compute(self.fresh)
+        self.cost += 2 * new.nbytes + sum(map(len, self.fresh)) + WORD_BYTES * len(self.fresh)
         if self.values is None or self.used + len(new) > len(self.values):
             grown = np.empty((max(4096, 2 * (self.used + len(new))), *new.shape[1:]), new.dtype)
             if self.values is not None:
@@ -73,9 +75,9 @@ class WordValues(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The values of ``words``, in their order."""
-        if len(self) > self.limit:
+        if self.cost > self.limit:
             self.clear()
-            self.used = 0
+            self.used, self.cost, self.values = 0, 0, None
         numbers = self.numbers(words)
         self._settle()
         if self.values is None:

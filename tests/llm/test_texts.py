@@ -50,7 +50,7 @@ def test_words_are_encoded_as_whole_texts_are():
 
 
 def test_known_words_are_bounded(monkeypatch):
-    monkeypatch.setattr(encoding, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(encoding, "TABLE_BYTES", 600)
     known = encoding.Encoder(PATH)
     for text in ["one two three four", "four five one", "six"]:
         assert known.encode(text.encode()).tolist() == ids_of(text, 1)[:-1]
