@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.vectorsets import distinct_vectors, hits_of, matrix, meet, sample_matrix, valid_vectors
+from reviewmill.llm.vectorsets import by_width, distinct_vectors, hits_of, matrix, meet, sample_matrix, valid_vectors
 from reviewmill.session import cut_lineage
 
 BLOCK_ROWS = 2048
@@ -123,8 +123,8 @@ def dual_search(data: CoverTree, queries: CoverTree, top: TopK) -> None:
         def bounds(nodes: np.ndarray, c: int = c, r: float = r) -> np.ndarray:
             centres = data.centres[nodes]
             product = data.points[centres] @ queries.points[c]
-            bound = product + queries.norms[c] * data.radii[nodes] + data.norms[centres] * r + r * data.radii[nodes]
-            return bound * (1 + 1e-12) + 1e-6 + 1e-12 * queries.norms[c] * data.norms[centres]
+            reach = queries.norms[c] * data.radii[nodes] + data.norms[centres] * r + r * data.radii[nodes]
+            return product + reach + 1e-12 * (queries.norms[c] * data.norms[centres] + reach) + 1e-6
 
         value = bounds(nodes)
         nodes = nodes[value >= top.floor[rows].min()]
@@ -186,16 +186,20 @@ def top_products(vectors: DataFrame, key: str, vector: str, value: Column, is_qu
 
     ``value`` makes whole numbers of the double array ``x``. Queries are rows where ``is_query``,
     candidates all others; ties go to the smaller id. Null, empty and non-finite vectors and rows
-    without an id take no part; zero vectors do. Equal vectors are searched once. Products are
-    exact while the sum of their terms' sizes stays below 2^52, and computed digit by digit
+    without an id take no part; zero vectors do. Vectors of each width are searched by themselves.
+    Equal vectors are searched once. Products are exact while the sum of their terms' sizes stays below 2^52, and computed digit by digit
     beyond, where bounds prune less. An empty table, or one without queries, has no result.
     """
     valid = valid_vectors(vectors, key, vector, value)
     queries = vectors.where(is_query).select(F.col(key).cast("long").alias("id")).distinct()
     distinct = cut_lineage(distinct_vectors(valid, k + 1), "vectors")
-    mine = cut_lineage(valid.join(queries, "id", "left_semi").select("id", "h1", "h2"), "queries")
-    head = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()
-    n, width = head["n"], head["w"] or 1
+    mine = cut_lineage(valid.join(queries, "id", "left_semi").select("id", "h1", "h2", F.size("v").alias("w")), "queries")
+    return by_width(distinct, mine, lambda rows, asked, width: _top_of_width(rows, asked, width, k), "query_id long, rank int, vec_id long, score long")
+
+
+def _top_of_width(distinct: DataFrame, mine: DataFrame, width: int, k: int) -> DataFrame:
+    """The search among vectors of one width."""
+    n = distinct.count()
     centres = net(sample_matrix(distinct, SAMPLE, width), max(1, min(MOST_CELLS, -(-n // BLOCK_ROWS))))
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +215,7 @@ def top_products(vectors: DataFrame, key: str, vector: str, value: Column, is_qu
     names = np.array([c["cell"] for c in covers], np.int64)
     radii = np.array([c["r"] for c in covers]) if covers else np.empty(0)
     blocks = np.array([-(-c["n"] // BLOCK_ROWS) for c in covers], np.int64)
-    block_table = vectors.sparkSession.createDataFrame([(int(c), int(b)) for c, b in zip(names, blocks, strict=True)] or [(-1, 1)], "cell long, blocks long")
+    block_table = distinct.sparkSession.createDataFrame([(int(c), int(b)) for c, b in zip(names, blocks, strict=True)] or [(-1, 1)], "cell long, blocks long")
     index = index.join(F.broadcast(block_table), "cell").withColumn("block", F.pmod("h1", "blocks")).drop("blocks", "away")
     lowest = -math.inf
     asked = index.join(mine.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("cell", "block", "h1", "h2", "v", F.lit(lowest).alias("floor"))
@@ -261,11 +265,13 @@ def top_products(vectors: DataFrame, key: str, vector: str, value: Column, is_qu
                 group = np.flatnonzero(own_cell == cell)
                 centre = centres[cell]
                 r = float(np.sqrt(((points[group] - centre) ** 2).sum(axis=1)).max())
-                bound = centres[names] @ centre + centre_norms[cell] * radii + centre_norms[names] * r + r * radii
-                near = np.flatnonzero(bound * (1 + 1e-9) + 1e-6 >= floors[group].min())
+                reach = centre_norms[cell] * radii + centre_norms[names] * r + r * radii
+                slack = 1e-9 * (centre_norms[cell] * centre_norms[names] + reach) + 1e-6  # of either sign of the bound
+                near = np.flatnonzero(centres[names] @ centre + reach + slack >= floors[group].min())
                 norms = np.sqrt((points[group] ** 2).sum(axis=1))
-                single = points[group] @ centres[names[near]].T + norms[:, None] * radii[near][None, :]
-                which, to = np.nonzero(single * (1 + 1e-9) + 1e-6 + 1e-9 * norms[:, None] * centre_norms[names[near]] >= floors[group][:, None])
+                reach = norms[:, None] * radii[near][None, :]
+                slack = 1e-9 * (norms[:, None] * centre_norms[names[near]] + reach) + 1e-6
+                which, to = np.nonzero(points[group] @ centres[names[near]].T + reach + slack >= floors[group][:, None])
                 copies = blocks[near[to]]
                 which, to = np.repeat(group[which], copies), np.repeat(near[to], copies)
                 block = np.arange(len(to)) - np.repeat(np.cumsum(copies) - copies, copies)

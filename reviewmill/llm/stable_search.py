@@ -4,7 +4,8 @@ Unit vectors are projected to DIMENSIONS Gaussian directions. The squared projec
 two points over their squared distance then follows a chi-square law, whatever their width. A
 kd-tree over the projections yields neighbours in order of projected distance; each is verified
 by its true distance. The search ends when a point beyond the current projected radius would be
-nearer than the worst neighbour held only with probability 1 - CONFIDENCE.
+nearer than the worst neighbour held, divided by APPROXIMATION, only with probability
+1 - CONFIDENCE.
 
 The tree's upper levels are cells, laid out on a bounded sample; every row is indexed. A query
 first searches the block of its own cell, and then goes only to the cells whose box lies within
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.vectorsets import distinct_vectors, hits_of, matrix, meet, sample_matrix, valid_vectors
+from reviewmill.llm.vectorsets import by_width, distinct_vectors, hits_of, matrix, meet, sample_matrix, valid_vectors
 from reviewmill.session import cut_lineage
 
-DIMENSIONS = 8
+DIMENSIONS = 12
 CONFIDENCE = 0.97
+APPROXIMATION = 1.05
 CELL_ROWS = 4096
 MOST_CELLS = 4096
 SAMPLE = 20_000
@@ -39,13 +41,14 @@ def chi_square(x: float, freedom: int = DIMENSIONS) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(freedom // 2))
 
 
-def radius_factor(confidence: float = CONFIDENCE) -> float:
-    """Projected over true distance that is exceeded with probability 1 - ``confidence``."""
+def radius_factor(confidence: float = CONFIDENCE, approximation: float = APPROXIMATION) -> float:
+    """Projected radius over the worst distance held at which the search stops: a point
+    ``approximation`` times nearer lies beyond it with probability 1 - ``confidence``."""
     low, high = 0.0, 1000.0
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if chi_square(mid) < confidence else (low, mid)
-    return math.sqrt(high)
+    return math.sqrt(high) / approximation
 
 
 def directions(width: int, seed: int = 11) -> np.ndarray:
@@ -99,37 +102,48 @@ def leaves(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search_block(v: np.ndarray, p: np.ndarray, first_id: np.ndarray, qv: np.ndarray, qp: np.ndarray, bounds: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-    """Rows of the ``k`` nearest found per query, ties to the smaller first id. ``bounds`` are
-    true distances beyond which a query needs no point."""
+def search_block(
+    v: np.ndarray, p: np.ndarray, first_id: np.ndarray, qv: np.ndarray, qp: np.ndarray, bounds: np.ndarray, k: int, factor: float
+) -> tuple[list[np.ndarray], int]:
+    """Rows of the ``k`` nearest found per query, ties to the smaller first id, and how many rows
+    were verified. ``bounds`` are true distances beyond which a query needs no point."""
     u, qu = unit(v), unit(qv)
     rows = leaves(p)
     low = np.array([p[g].min(axis=0) for g in rows])
     high = np.array([p[g].max(axis=0) for g in rows])
-    out = []
+    out, verified = [], 0
     for q in range(len(qv)):
         gap = np.maximum(np.maximum(low - qp[q], qp[q] - high), 0)
         lower = np.sqrt((gap * gap).sum(axis=1))
         order = np.argsort(lower, kind="stable")
         held, dist, worst, at = np.empty(0, np.int64), np.empty(0), float(bounds[q]), 0
         while at < len(order) and lower[order[at]] <= factor * worst + 1e-9:
-            step = [j for j in order[at : at + 4] if lower[j] <= factor * worst + 1e-9]
+            more = np.concatenate([rows[j] for j in order[at : at + 4]])
             at += 4
-            more = np.concatenate([rows[j] for j in step])
-            d = np.sqrt(np.maximum(2 - 2 * (u[more] @ qu[q]), 0))
-            near = d <= worst + 1e-9
-            held, dist = np.concatenate([held, more[near]]), np.concatenate([dist, d[near]])
-            if len(held) > k:
-                best = np.lexsort((first_id[held], dist))[: 4 * k]  # more than k, as rounding may swap near ties
-                held, dist = held[best], dist[best]
-            if len(held) >= k:
-                worst = min(worst, float(dist[k - 1]) if len(dist) > k else float(dist.max()))
+            away = np.sqrt(((p[more] - qp[q]) ** 2).sum(axis=1))
+            nearest_first = np.argsort(away, kind="stable")
+            more, away = more[nearest_first], away[nearest_first]
+            for start in range(0, len(more), LEAF):  # the radius shrinks as neighbours are found
+                some = more[start : start + LEAF][away[start : start + LEAF] <= factor * worst + 1e-9]
+                if not len(some):
+                    break
+                verified += len(some)
+                d = np.sqrt(np.maximum(2 - 2 * (u[some] @ qu[q]), 0))
+                near = d <= worst + 1e-9
+                held, dist = np.concatenate([held, some[near]]), np.concatenate([dist, d[near]])
+                if len(held) > k:
+                    best = np.lexsort((first_id[held], dist))[: 4 * k]  # more than k, as rounding may swap near ties
+                    held, dist = held[best], dist[best]
+                if len(held) >= k:
+                    worst = min(worst, float(dist[k - 1]) if len(dist) > k else float(dist.max()))
         out.append(held)
-    return out
+    return out, verified
 
 
 def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosines on the original vectors, each row summed alike wherever it stands."""
+    """Cosines on the original vectors, each row summed alike wherever it stands. Powers of two
+    are taken out first, which changes no digit and keeps squares of any double finite."""
+    rows, query = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1]) for x in (rows, query))
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
@@ -137,15 +151,19 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int)
     """``query_id, rank, vec_id, score`` (cosine, largest first) of the ``k`` nearest found.
 
     Queries are rows where ``is_query``; candidates all others. Null, zero, empty and non-finite
-    vectors take no part, nor do rows without an id; equal vectors are searched once; ties go to
-    the smaller id. An empty table, or one without queries, has no result.
+    vectors take no part, nor do rows without an id; vectors of each width are searched by
+    themselves; equal vectors are searched once; ties go to the smaller id. An empty table, or one without queries, has no result.
     """
     valid = valid_vectors(vectors, key, vector, F.col("x")).where(F.exists("v", lambda c: c != 0))
     queries = vectors.where(is_query).select(F.col(key).cast("long").alias("id")).distinct()
     distinct = cut_lineage(distinct_vectors(valid, k + 1), "vectors")
-    mine = cut_lineage(valid.join(queries, "id", "left_semi").select("id", "h1", "h2"), "queries")
-    head = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()
-    n, width = head["n"], head["w"] or 1
+    mine = cut_lineage(valid.join(queries, "id", "left_semi").select("id", "h1", "h2", F.size("v").alias("w")), "queries")
+    return by_width(distinct, mine, lambda rows, asked, width: _nearest_of_width(rows, asked, width, k), "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of_width(distinct: DataFrame, mine: DataFrame, width: int, k: int) -> DataFrame:
+    """The search among vectors of one width."""
+    n = distinct.count()
     normal, factor = directions(width), radius_factor()
     count = min(MOST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n / CELL_ROWS)))))
     sample = sample_matrix(distinct, SAMPLE, width)
@@ -166,7 +184,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int)
     low = np.array([[r[f"a{i}"] for i in range(DIMENSIONS)] for r in boxes]).reshape(-1, DIMENSIONS)
     high = np.array([[r[f"b{i}"] for i in range(DIMENSIONS)] for r in boxes]).reshape(-1, DIMENSIONS)
     blocks = np.array([-(-r["n"] // CELL_ROWS) for r in boxes], np.int64)
-    block_table = vectors.sparkSession.createDataFrame([(int(c), int(b)) for c, b in zip(names, blocks, strict=True)] or [(-1, 1)], "cell long, blocks long")
+    block_table = distinct.sparkSession.createDataFrame([(int(c), int(b)) for c, b in zip(names, blocks, strict=True)] or [(-1, 1)], "cell long, blocks long")
     index = index.join(F.broadcast(block_table), "cell").withColumn("block", F.pmod("h1", "blocks")).drop("blocks")
     asked = index.join(mine.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("cell", "block", "h1", "h2", "v", "p", F.lit(math.inf).alias("bound"))
 
@@ -176,7 +194,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int)
         v, ids = matrix(rows.column("v"), width), rows.column("ids").to_pylist()
         qv = matrix(qs.column("v"), width)
         first_id = np.array([i[0] for i in ids])
-        found = search_block(v, matrix(rows.column("p"), DIMENSIONS), first_id, qv, matrix(qs.column("p"), DIMENSIONS), qs.column("bound").to_numpy(), k + 1, factor)
+        found, _ = search_block(v, matrix(rows.column("p"), DIMENSIONS), first_id, qv, matrix(qs.column("p"), DIMENSIONS), qs.column("bound").to_numpy(), k + 1, factor)
         q1, q2, scores, out = [], [], [], []
         for a, b, q, held in zip(qs.column("h1").to_pylist(), qs.column("h2").to_pylist(), qv, found, strict=True):
             s = cosine(v[held], q)
@@ -194,15 +212,18 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int)
 
     def visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                p = np.array(batch.column("p")[i].as_py())
-                gap = np.maximum(np.maximum(low - p, p - high), 0)
-                near = np.flatnonzero(np.sqrt((gap * gap).sum(axis=1)) <= factor * batch.column("bound")[i].as_py() + 1e-9)
-                own = (batch.column("cell")[i].as_py(), batch.column("block")[i].as_py())
-                to = [(int(names[c]), b) for c in near for b in range(int(blocks[c])) if (int(names[c]), b) != own]
-                if to:
-                    rest = [pa.array([batch.column(c)[i].as_py()] * len(to), batch.column(c).type) for c in ("h1", "h2", "v", "p", "bound")]
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in to], pa.int64()), pa.array([b for _, b in to], pa.int64()), *rest], names=["cell", "block", "h1", "h2", "v", "p", "bound"])
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                p = matrix(part.column("p"), DIMENSIONS)
+                gap = np.maximum(np.maximum(low - p[:, None], p[:, None] - high), 0)
+                radius = factor * part.column("bound").to_numpy() + 1e-9
+                which, to = np.nonzero(np.sqrt((gap * gap).sum(axis=2)) <= radius[:, None])
+                copies = blocks[to]
+                which, to = np.repeat(which, copies), np.repeat(to, copies)
+                block = np.arange(len(to)) - np.repeat(np.cumsum(copies) - copies, copies)
+                other = (names[to] != part.column("cell").to_numpy()[which]) | (block != part.column("block").to_numpy()[which])
+                rest = part.select(["h1", "h2", "v", "p", "bound"]).take(pa.array(which[other]))
+                yield pa.RecordBatch.from_arrays([pa.array(names[to[other]]), pa.array(block[other]), *rest.columns], names=["cell", "block", *rest.schema.names])
 
     going = bounded.mapInArrow(visits, "cell long, block long, h1 long, h2 long, v array<double>, p array<double>, bound double")
     rest = meet(index, going, search, ENTRIES, QUERIES_PER_TASK)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,17 +17,14 @@ def valid_vectors(rows: DataFrame, key: str, vector: str, value: Column) -> Data
     """``id, h1, h2, v`` of the rows that take part.
 
     Left out are rows without an id, and vectors that are null, empty, or hold null or
-    non-finite components; of differing widths the commonest takes part (of equally common ones
-    the widest). ``value`` turns the double array ``x`` into the array that is searched. The
-    keys are 128 bits of the vector's hash.
+    non-finite components. ``value`` turns the double array ``x`` into the array that is searched.
+    The keys are 128 bits of the vector's hash.
     """
     inf = F.lit(float("inf"))
     x = F.transform(F.col(vector).cast("array<double>"), lambda c: c + F.lit(0.0))  # -0.0 is 0.0
     plain = rows.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull())
     plain = plain.where((F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < inf)))
-    widths = plain.groupBy(F.size("x").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("w")).limit(1).collect()
-    width = widths[0]["w"] if widths else 0
-    found = plain.where(F.size("x") == width).select("id", value.alias("v"))
+    found = plain.select("id", value.alias("v"))
     return found.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "v")
 
 
@@ -60,6 +60,14 @@ def hits_of(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def by_width(distinct: DataFrame, mine: DataFrame, search: Callable[[DataFrame, DataFrame, int], DataFrame], schema: str) -> DataFrame:
+    """``search(vectors, queries, width)`` for the vectors of each width that a query (``id, h1, h2, w``) has,
+    one width after the other: only vectors of one width have a score."""
+    widths = [r["w"] for r in mine.select("w").distinct().orderBy("w").collect()]
+    found = [search(distinct.where(F.size("v") == w), mine.where(F.col("w") == w).drop("w"), w) for w in widths]
+    return reduce(DataFrame.unionByName, found) if found else distinct.sparkSession.createDataFrame([], schema)
+
+
 def sample_matrix(rows: DataFrame, n: int, width: int) -> np.ndarray:
     """The ``n`` vectors that come first by hash: a fixed, bounded sample for laying out cells."""
     return matrix(rows.orderBy("h1", "h2").limit(n).select("v").toArrow().column("v"), width)
