@@ -27,7 +27,6 @@ from reviewmill.session import cut_lineage
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
-TERMS = 8192
 LEAST_DOCS = 4
 FACTORS = 8
 PER_CLASS = 4000
@@ -86,22 +85,11 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * raw + self.shift))))
 
 
-def choose_terms(sets: list[np.ndarray], y: np.ndarray, terms: int = TERMS) -> np.ndarray:
-    """The buckets that tell most about the label (mutual information), in at least LEAST_DOCS texts."""
-    buckets, column = np.unique(np.concatenate([*sets, np.empty(0, np.int32)]), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    n1 = np.bincount(column, weights=y[owner], minlength=len(buckets))
-    n = np.bincount(column, minlength=len(buckets))
-    total, positive = len(y), y.sum()
-    gain = np.zeros(len(buckets))
-    for held, marked, base in ((n, n1, positive), (n, n - n1, total - positive)):
-        for joint, margin in ((marked, held), (base - marked, total - held)):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                part = joint / total * np.log(joint * total / (margin * base))
-            gain += np.where(joint > 0, part, 0)
-    gain[n < LEAST_DOCS] = -1
-    best = np.argsort(-gain, kind="stable")[:terms]
-    return np.sort(buckets[best[gain[best] > 0]])
+def choose_terms(sets: list[np.ndarray]) -> np.ndarray:
+    """The buckets that occur in at least LEAST_DOCS texts, whatever they tell by themselves: what
+    counts may be a pair. Their number is bounded by the sample's texts alone."""
+    buckets, n = np.unique(np.concatenate([*sets, np.empty(0, np.int32)]), return_counts=True)
+    return buckets[n >= LEAST_DOCS]
 
 
 def _train(data: list[np.ndarray], y: np.ndarray, m: int, seed: int, epochs: int, rate: float, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -143,7 +131,7 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, shares: tuple[int, int],
     """Fit on term sets and labels. Machines that saw two thirds of the texts say, on the last
     third, which curve turns raw values into probabilities. With one class, or none, the score
     is the smoothed share of class 1 (``shares`` are the class counts)."""
-    kept = choose_terms(sets, y) if len(set(y.tolist())) == 2 else np.empty(0, np.int32)
+    kept = choose_terms(sets) if len(set(y.tolist())) == 2 else np.empty(0, np.int32)
     m = len(kept)
     row = np.full(BUCKETS, m, np.int32)
     row[kept] = np.arange(m)
@@ -188,7 +176,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, column: str = "toxicity")
     the score of no terms. Other columns are kept; one of that name is replaced."""
     kept = [c for c in docs.columns if c != column]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])
-    model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS and TERMS bound its size
+    model = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by BUCKETS
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, m = Terms(), model.value
