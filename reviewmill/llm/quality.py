@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ DICTIONARY_BYTES = 1 << 18
 SAMPLE_BYTES = 1 << 14
 LEVEL = 3
 PER_CLASS = 3000
+FITTED_BYTES = 64 << 20
 
 
 @dataclass
@@ -43,13 +45,37 @@ class Compression:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * difference + self.bias))))
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; where the texts are too few for training, the texts themselves."""
-    samples = [text[i : i + SAMPLE_BYTES] for text in texts for i in range(0, len(text), SAMPLE_BYTES)]
+def dictionary(samples: list[bytes]) -> bytes:
+    """A trained dictionary; where there is too little to train on, the samples themselves, cut
+    into chunks of CHUNK bytes that are taken in a seeded order while they fit."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(texts)[:DICTIONARY_BYTES]
+        chunks = [text[i : i + CHUNK] for text in samples for i in range(0, len(text), CHUNK)]
+        order = np.random.default_rng(204).permutation(len(chunks))[: DICTIONARY_BYTES // CHUNK]
+        return b"\n".join(chunks[i] for i in np.sort(order))[:DICTIONARY_BYTES]
+
+
+def _samples(texts: DataFrame) -> pa.Table:
+    """``y, sample`` on the driver: the texts in pieces of SAMPLE_BYTES. Of more than FITTED_BYTES
+    a seeded share of the pieces of all texts is taken."""
+    total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    share = min(1.0, FITTED_BYTES / max(total, 1))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, marks, samples = [], [], [], []
+            for key, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), texts_of(batch.column("text")), strict=True):
+                for i in range(0, len(text), SAMPLE_BYTES):
+                    if share == 1 or xxhash.xxh3_64_intdigest(f"{key}/{i}", seed=205) < share * 2**64:
+                        keys.append(key)
+                        at.append(i)
+                        marks.append(y)
+                        samples.append(text[i : i + SAMPLE_BYTES])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(marks, pa.int32()), pa.array(samples, pa.binary())], names=["doc_id", "at", "y", "sample"])
+
+    pieces = texts.select("doc_id", "y", "text").mapInArrow(cut, "doc_id long, at long, y int, sample binary")
+    return pieces.orderBy("doc_id", "at").select("y", "sample").toArrow()
 
 
 class Sizes:
@@ -81,7 +107,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     """Fit on at most ``per_class`` whole labelled texts of each class outside the held-out fold:
     two thirds of them make the dictionaries, the others the curve.
 
-    The dictionaries come from the sample's texts on the driver (``per_class`` bounds them); the
+    The dictionaries are trained on the driver, from FITTED_BYTES of the sample at most; the
     curve's texts are compressed in tasks. With one class, or none, all scores are the smoothed
     share of class 1.
     """
@@ -90,9 +116,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     if not counts[0] or not counts[1]:
         return Compression(b"", b"", 0.0, prior)
     third = F.pmod(F.xxhash64(F.lit(203), "doc_id"), F.lit(3))
-    table = sample.where(third != 0).orderBy("doc_id").toArrow()
-    y = table.column("y").to_pylist()
-    texts = texts_of(table.column("text").combine_chunks())
+    table = _samples(sample.where(third != 0))
+    y, texts = table.column("y").to_pylist(), table.column("sample").to_pylist()
     good, bad = (dictionary([t for t, k in zip(texts, y, strict=True) if k == one]) for one in (1, 0))
 
     def differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
