@@ -27,7 +27,6 @@ from reviewmill.operators.joins import BROADCAST_FILE_BYTES, lookup_join, stored
 from reviewmill.session import cut_lineage
 
 Rules = Sequence[tuple[str, str]]
-LONGEST_WORD = 24
 COUNTED_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+|\d+")
@@ -78,8 +77,9 @@ class UrlModel:
         """The cheapest cut of a run of letters into words; letters in no word are cut singly and
         joined again with their neighbours of the same kind."""
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+        lengths = sorted({1} | {len(word) for word in self.costs}, reverse=True)
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
+            for start in [end - n for n in lengths if n <= end]:
                 cost = self.costs.get(name[start:end])
                 if cost is None:
                     cost = self.unknown if end - start == 1 else None
@@ -141,7 +141,7 @@ def visible_text(page: str) -> str:
 
 
 def count_words(parsed: DataFrame, text: str = "html") -> DataFrame:
-    """``word, n``: how often words of 2 to LONGEST_WORD letters stand in texts, titles and paths."""
+    """``word, n``: how often words of 2 letters or more stand in texts, titles and paths."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def count_words(parsed: DataFrame, text: str = "html") -> DataFrame:
         for batch in batches:
             for page, path in zip(*batch.columns, strict=True):
                 for source in (visible_text(page.as_py() or ""), path.as_py()):
-                    counts.update(w for w in _LETTERS.findall(source.lower()) if 1 < len(w) <= LONGEST_WORD and not w.isdigit())
+                    counts.update(w for w in _LETTERS.findall(source.lower()) if 1 < len(w) and not w.isdigit())
                 if len(counts) >= COUNTED_AT_ONCE:
                     yield from _batches(counts.items(), schema)
                     counts.clear()
@@ -164,15 +164,17 @@ def split_runs(hosts: DataFrame, words: DataFrame) -> DataFrame:
     counts of its own substrings."""
     total = (words.agg(F.sum("n").alias("n")).first()["n"] or 0) + 1
     unknown = math.log(total) + 2.0
+    # one row per length that occurs: few, and only lengths up to a run's own are looked at
+    lengths = [r["length"] for r in words.select(F.length("word").alias("length")).distinct().orderBy("length").collect()]
 
     def letters(host: str) -> Iterator[tuple[str]]:
         return ((run,) for run in _LETTERS.findall(host) if not run.isdigit())
 
     def substrings(key: str, run: str) -> Iterator[tuple[str, str]]:
-        yield key, run[:LONGEST_WORD]
-        for end in range(2, len(run) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end - 1):
-                yield key, run[start:end]
+        yield key, run
+        for length in lengths:
+            for start in range(len(run) - length + 1):
+                yield key, run[start : start + length]
 
     def cut(run: str, found: list[dict]) -> Iterator[tuple[str, list[str]]]:
         costs = {f["word"]: math.log(total / f["n"]) for f in found}
