@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.words import WordValues, batches_of, segments
-from reviewmill.operators.joins import lookup_join
+from reviewmill.operators.joins import hot_keys, lookup_join
 from reviewmill.session import cut_lineage
 
 FRAGMENT_NGRAMS = 1 << 21
@@ -315,6 +315,15 @@ def _count(key: tuple, segments_: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"a": a[some], "b": b[some], "part": counts[some]})
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``h``, the part they are counted in: pairs of one first set stay together, as its
+    segments then travel once, unless they are more than PAIRS_PER_TASK."""
+    parts = max(1, -(-pairs.count() // PAIRS_PER_TASK))
+    hot = hot_keys(pairs, ["a"], PAIRS_PER_TASK)
+    share = F.pmod(F.xxhash64("b"), F.coalesce("_splits", F.lit(1)))
+    return pairs.join(F.broadcast(hot), "a", "left").withColumn("h", F.pmod(F.xxhash64("a", share), F.lit(parts))).drop("_splits")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame, bits_total: int = 48) -> DataFrame:
     """``pairs`` (``a, b, na, nb``, distinct) with ``overlap``: the n-grams both sets hold.
 
@@ -326,8 +335,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, bits_total: int = 48) -> DataFra
     cuts = max(2, min(top + 1, -(-total // (4 * FRAGMENT_NGRAMS))))
     wide = -(-(top + 1) // cuts)
     cuts = -(-(top + 1) // wide)
-    parts = max(1, -(-pairs.count() // PAIRS_PER_TASK))
-    placed = pairs.withColumn("h", F.pmod(F.xxhash64("a"), F.lit(parts)))
+    placed = dealt(pairs)
     needed = placed.select(F.col("a").alias("set_id"), "h").unionByName(placed.select(F.col("b").alias("set_id"), "h")).distinct()
     fragment_of = lambda t: F.floor(F.shiftright(t, 48) / wide).cast("int")
     each = F.transform(
@@ -464,7 +472,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFra
     first = found.groupBy(F.col("_group").alias("_g")).agg(F.min("least").alias("_first"))
     found = found.join(first, F.col("_group") == F.col("_g")).select("h1", "h2", "_group", "_first")
     named_id = F.col("doc_id").isNotNull()
-    return rows.join(found, ["h1", "h2"], "left").select(
+    # copies of one text are split over tasks, and so are rows without words, whose keys are NULL
+    return lookup_join(rows, found, ["h1", "h2"], "left", ["doc_id", "text_key"]).select(
         "doc_id", "text_key", "n_shingles", F.when(named_id, F.col("_group")).alias("group"), F.when(named_id, F.coalesce("_first", "doc_id")).alias("component_id")
     )
 
