@@ -17,6 +17,7 @@ from reviewmill.functions import ids, vectors
 from reviewmill.functions import text as X
 from reviewmill.operators import (
     analytics,
+    cellindex,
     dedup,
     embedding,
     features,
@@ -1038,10 +1039,19 @@ def ann_search(spark: SparkSession, sf: str) -> DataFrame:
     return counts.agg(F.min(F.coalesce("hits", F.lit(0))).alias("hits"), (recall >= 0.9).alias("recall_reached"))
 
 
+@register()
+def ann_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate neighbours themselves, each with its place in the exact order (NULL beyond ten)."""
+    found, exact = _ann_neighbours(spark, sf)
+    place = exact.select("query_id", "review_id", F.col("rank").alias("exact_rank"))
+    return found.join(place, ["query_id", "review_id"], "left").select("query_id", "review_id", F.round("similarity", 6).alias("similarity"), "rank", "exact_rank")
+
+
 def _ann_neighbours(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    stored = cut_lineage(search.ann_index(embeddings_of(spark, sf), 64), "ann-index")
+    stored = embeddings_of(spark, sf)
+    index = cellindex.build_index(stored, scratch_path(spark, "cells"))
     asked = stored.where(F.col("review_id") % 50 == 0).select(F.col("review_id").alias("query_id"), "embedding")
-    found = search.ann_search_many(stored, asked, 10), search.search_many(stored, asked, 10)
+    found = cellindex.ann_search_many(spark, index, asked, 10), search.search_many(stored, asked, 10)
     return tuple(cut_lineage(rows, "neighbours") for rows in found)
 
 

@@ -1,24 +1,23 @@
-"""Nearest reviews by cosine similarity: exact, approximate, and for many queries at once."""
+"""Nearest reviews by cosine similarity: exact, for one query and for many at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.vectors import as_matrix, cosine_to
-from reviewmill.operators.termsum import to_lists
 from reviewmill.schemas import SEARCH_LIMIT
 from reviewmill.session import cut_lineage
 
-QUERIES_PER_PASS = 1024
+QUERIES_PER_PASS = 16_384
+PRODUCT_CELLS = 1 << 22
 # Similarities closer than this are ties, broken by id.
 _DIGITS = 12
-# Hash tables of an index. With 8 bits and one flipped bit a vector at cosine 0.3 is met in 98 of 100 cases.
-TABLES = 32
 
 
 def in_scope(
@@ -83,24 +82,19 @@ def search_many(
     pair is ever a row and each task sends at most ``limit`` rows per query.
     """
     vectors = in_scope(embeddings, **scope).select("review_id", "embedding")
-    return _search_blocks(vectors, queries, limit, queries_per_pass, lambda rows: _best_per_query(rows, limit))
-
-
-def _search_blocks(vectors: DataFrame, queries: DataFrame, limit: int, queries_per_pass: int, searcher: Callable) -> DataFrame:
-    """The best of what ``searcher`` finds in each task, one block of queries after the other."""
     id_type = vectors.schema["review_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, review_id {id_type}, similarity double"
     found: DataFrame | None = None
     queries = cut_lineage(queries.select("query_id", "embedding"), "queries")
-    blocks_needed = max(1, -(-queries.count() // queries_per_pass))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks_needed))
-    blocks = [queries.where(block == i) for i in range(blocks_needed)]
-    for part in blocks:
-        rows = part.select("query_id", "embedding").toArrow()
+    blocks = max(1, -(-queries.count() // queries_per_pass))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for i in range(blocks):
+        rows = queries.where(block == i).toArrow()
         if not rows.num_rows:
             continue
-        best = vectors.mapInArrow(searcher(rows), schema)
+        matrix, _ = as_matrix(rows["embedding"].combine_chunks(), len(rows["embedding"][0]))
+        best = vectors.mapInArrow(best_per_query(rows["query_id"].combine_chunks(), unit_rows(matrix), limit), schema)
         found = best if found is None else found.unionByName(best)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], schema)
@@ -108,123 +102,57 @@ def _search_blocks(vectors: DataFrame, queries: DataFrame, limit: int, queries_p
     return found.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= limit)
 
 
-def _best_per_query(queries: pa.Table, limit: int, hashed: tuple[int, int, int] | None = None):
-    """With ``hashed`` (tables, bits, seed) only vectors whose ``buckets`` are met count."""
-    width = len(queries["embedding"][0])
-    matrix, _ = as_matrix(queries["embedding"].combine_chunks(), width)
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay."""
     lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    matrix = matrix / np.where(lengths > 0, lengths, 1)[:, None]
-    query_ids = queries["query_id"].combine_chunks()
-    if hashed:
-        own, close = _bucket_ids(matrix, *hashed), np.array([i.bit_count() <= 1 for i in range(1 << hashed[1])])
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_ids: list[np.ndarray] = [np.array([], dtype=object)] * len(matrix)
-        kept: list[np.ndarray] = [np.array([])] * len(matrix)
-        id_type = None
-        for batch in batches:
-            id_type = batch.column(0).type
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            x, given = as_matrix(batch.column(1), width)
-            x, ids = x[given], ids[given]
-            if hashed:
-                buckets = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, hashed[0])[given]
-            norms = np.sqrt(np.einsum("ij,ij->i", x, x))
-            x = x / np.where(norms > 0, norms, 1)[:, None]
-            sims = np.round(x @ matrix.T, _DIGITS)
-            for j in range(len(matrix)):
-                score, names = sims[:, j], ids
-                if hashed:
-                    met = close[buckets ^ own[j]].any(axis=1)
-                    score, names = score[met], names[met]
-                if len(score) > limit:
-                    # All rows at or above the limit-th best, so that ties stay comparable.
-                    edge = np.partition(score, len(score) - limit)[len(score) - limit]
-                    score, names = score[score >= edge], names[score >= edge]
-                score, names = np.r_[kept[j], score], np.r_[kept_ids[j], names]
-                by_name = np.argsort(names, kind="stable")
-                order = by_name[np.argsort(-score[by_name], kind="stable")][:limit]
-                kept[j], kept_ids[j] = score[order], names[order]
-        if id_type is None:
-            return
-        counts = [len(k) for k in kept]
-        yield pa.RecordBatch.from_arrays(
-            [
-                query_ids.take(pa.array(np.repeat(np.arange(len(matrix)), counts))),
-                pa.array(np.concatenate(kept_ids).tolist(), id_type),
-                pa.array(np.concatenate(kept)),
-            ],
-            ["query_id", "review_id", "similarity"],
-        )
-
-    return best
+    return matrix / np.where(lengths > 0, lengths, 1)[:, None]
 
 
-def _planes(width: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((width, tables * bits))
+def best_per_query(query_ids: pa.Array, matrix: np.ndarray, limit: int, probed: np.ndarray | None = None):
+    """The best ``limit`` rows of each query (a row of unit length in ``matrix``) among a task's rows.
 
-
-def _bucket_ids(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
-    """One bucket per hash table: the signs against ``bits`` random hyperplanes, with the
-    table number in the upper part."""
-    signs = (vectors @ _planes(vectors.shape[1], tables, bits, seed) > 0).reshape(len(vectors), tables, bits)
-    return (np.arange(tables) << bits) + (signs << np.arange(bits)).sum(axis=2)
-
-
-def ann_index(
-    embeddings: DataFrame, width: int, tables: int = TABLES, bits: int = 8, seed: int = 13
-) -> DataFrame:
-    """Add ``buckets``: the hash buckets of each vector, to be stored next to it.
-
-    Close vectors share a bucket in some table with high probability.
+    With ``probed`` (query, cell) a query meets the rows of its cells only, by the column ``cell``.
     """
 
-    def buckets(vectors: pa.Array) -> pa.Array:
-        if not len(vectors):
-            return pa.array([], pa.list_(pa.int64()))
-        return to_lists(_bucket_ids(as_matrix(vectors, width)[0], tables, bits, seed).astype(np.int64))
-
-    return embeddings.withColumn("buckets", F.arrow_udf(buckets, "array<bigint>")("embedding"))
-
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor, held, rows = np.full(len(matrix), -np.inf), [], 0
+
+        def kept() -> pa.Table:
+            together = pa.concat_tables(held)
+            order = pc.sort_indices(together, sort_keys=[("q", "ascending"), ("similarity", "descending"), ("review_id", "ascending")])
+            together = together.take(order)
+            q = together["q"].to_numpy()
+            starts = np.searchsorted(q, q)
+            first = np.arange(len(q)) - starts < limit
+            together, q = together.filter(pa.array(first)), q[first]
+            last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.empty(0, np.int64)
+            full = np.bincount(q, minlength=len(matrix))[q[last]] == limit
+            floor[q[last[full]]] = together["similarity"].to_numpy()[last[full]]
+            return together
 
-def ann_search(
-    index: DataFrame,
-    query: Sequence[float],
-    limit: int = SEARCH_LIMIT,
-    tables: int = TABLES,
-    bits: int = 8,
-    seed: int = 13,
-    near_buckets: bool = True,
-    **scope: object,
-) -> DataFrame:
-    """Approximate nearest vectors: exact similarity, but only for vectors that share a
-    bucket (or one that differs in a single bit) with the query.
+        for batch in batches:
+            x, given = as_matrix(batch.column("embedding"), matrix.shape[1])
+            x = unit_rows(x)
+            cell = np.zeros(len(x), np.int64) if probed is None else batch.column("cell").to_numpy()
+            for c in np.unique(cell):
+                asked = np.arange(len(matrix)) if probed is None else np.flatnonzero(probed[:, c])
+                mine = np.flatnonzero((cell == c) & given)
+                step = max(1, PRODUCT_CELLS // max(1, len(mine)))
+                for low in range(0, len(asked), step):
+                    some = asked[low : low + step]
+                    sims = np.round(x[mine] @ matrix[some].T, _DIGITS)
+                    edge = floor[some]
+                    if len(mine) > limit:
+                        edge = np.maximum(edge, np.partition(sims, len(mine) - limit, axis=0)[len(mine) - limit])
+                    r, q = np.nonzero(sims >= edge)
+                    held.append(pa.table({"q": some[q], "review_id": batch.column("review_id").take(pa.array(mine[r])), "similarity": sims[r, q]}))
+                    rows += len(r)
+                    if rows > 4 * limit * len(matrix) + (1 << 16):
+                        held = [kept()]
+                        rows = held[0].num_rows
+        if held:
+            out = kept()
+            for b in pa.table({"query_id": query_ids.take(out["q"].combine_chunks()), "review_id": out["review_id"], "similarity": out["similarity"]}).to_batches():
+                yield b
 
-    The bucket test runs inside the scan, so most vectors never reach Python. When fewer
-    than ``limit`` vectors qualify the exact search answers instead.
-    """
-    own = _bucket_ids(np.asarray([query], dtype=np.float64), tables, bits, seed)[0]
-    probes = {int(b) for b in own}
-    if near_buckets:
-        probes |= {int(b) ^ (1 << i) for b in own for i in range(bits)}
-    scoped = in_scope(index, **scope)
-    candidates = scoped.where(F.arrays_overlap("buckets", F.lit(sorted(probes)).cast("array<bigint>")))
-    if not candidates.limit(limit).count() >= limit:
-        candidates = scoped
-    return nearest(candidates, query, limit)
-
-
-def ann_search_many(
-    index: DataFrame,
-    queries: DataFrame,
-    limit: int = SEARCH_LIMIT,
-    tables: int = TABLES,
-    bits: int = 8,
-    seed: int = 13,
-    queries_per_pass: int = QUERIES_PER_PASS,
-    **scope: object,
-) -> DataFrame:
-    """``search_many`` over the vectors that ``ann_search`` would look at, and no others: a query
-    that meets fewer than ``limit`` has fewer rows."""
-    vectors = in_scope(index, **scope).select("review_id", "embedding", "buckets")
-    return _search_blocks(vectors, queries, limit, queries_per_pass, lambda rows: _best_per_query(rows, limit, (tables, bits, seed)))
+    return best

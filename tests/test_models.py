@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewmill.operators import cellindex
 from reviewmill.operators import embedding as E
 from reviewmill.operators import language as L
 from reviewmill.operators import search as Q
 from reviewmill.operators import sentiment as S
 from reviewmill.plans import scoring, searching, training
+from reviewmill.session import scratch_path
 from reviewmill.sources import registry
 
 GOOD, BAD, FLAT = "great lovely perfect fast", "broken slow awful crash", "okay average normal plain"
@@ -227,23 +229,50 @@ def test_search_many_and_ann(spark):
         for q, found in got.items():
             sims = unit @ unit[q]
             assert min(sims[found]) >= np.sort(sims)[-4] - 1e-6
-    index = Q.ann_index(stored, 16, tables=6, bits=4)
+    index = cellindex.build_index(stored, scratch_path(spark, "cells"))
     query = [float(x) for x in points[0]]
     exact = {r.review_id for r in Q.nearest(stored, query, 10).collect()}
-    close = {r.review_id for r in Q.ann_search(index, query, 10, tables=6, bits=4).collect()}
-    assert len(exact & close) >= 8
-    assert Q.ann_search(index, query, 300, tables=6, bits=4).count() == 300
-
-
-def test_hashed_search_finds_far_neighbours(spark):
+    close = [(r.review_id, r.similarity) for r in cellindex.ann_search(spark, index, query, 10).collect()]
+    assert len(exact & {i for i, _ in close}) >= 8
+    assert [s for _, s in close] == sorted((s for _, s in close), reverse=True)
+    assert cellindex.ann_search(spark, index, query, 300).count() == 300
+    assert cellindex.ann_search(spark, index, query, 300, model_version="v2").count() == 0
+    # ten groups of thirty: a search reads its own group's folders, not the others
+    assert index.probes(cellindex.RECALL) <= len(index.centres) // 4
+    again = cellindex.load_index(spark, index.path)
+    assert np.allclose(again.centres, index.centres) and np.allclose(again.reach, index.reach)
+
+
+def test_cells_find_far_neighbours_and_read_fewer_files(spark):
     rng = np.random.default_rng(4)
     points = rng.standard_normal((1500, 64))
-    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)]
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)] + [(2000, None), (2001, [0.0] * 64)]
     stored = spark.createDataFrame(rows, "review_id long, embedding array<double>").repartition(4)
-    index = Q.ann_index(stored, 64).cache()
-    asked = stored.where("review_id % 50 = 0").select(F.col("review_id").alias("query_id"), "embedding")
-    found = {(r.query_id, r.review_id) for r in Q.ann_search_many(index, asked, 10).collect()}
+    index = cellindex.build_index(stored, scratch_path(spark, "cells"))
+    assert index.vectors(spark).count() == 1501
+    asked = stored.where("review_id % 50 = 0 and review_id < 1500").select(F.col("review_id").alias("query_id"), "embedding")
+    got = collections.defaultdict(list)
+    for r in cellindex.ann_search_many(spark, index, asked, 10, query_bytes=8 * 64 * 7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.review_id)
     exact = {(r.query_id, r.review_id) for r in Q.search_many(stored, asked, 10).collect()}
+    found = {(q, r) for q, ids in got.items() for r in ids}
     assert len(exact) == len(found) == 300 and len(exact & found) >= 270
-    one = {r.review_id for r in Q.ann_search(index, [float(v) for v in points[50]], 10).collect()}
-    assert one == {r for q, r in found if q == 50}
+    one = cellindex.ann_search(spark, index, [float(v) for v in points[50]], 10, recall=0.5)
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().toString()
+    read = index.vectors(spark).where(F.col("cell").isin(index.ranked(points[50:51])[0, : index.probes(0.5)].tolist()))
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert files(read) < files(index.vectors(spark)) / 2
+    assert {r.review_id for r in one.collect()} <= {r.review_id for r in read.collect()}
+
+
+def test_index_of_little(spark):
+    none = spark.createDataFrame([], "review_id long, embedding array<float>")
+    index = cellindex.build_index(none, scratch_path(spark, "cells"))
+    asked = spark.createDataFrame([(1, [1.0]), (2, None)], "query_id long, embedding array<double>")
+    assert cellindex.ann_search_many(spark, index, asked, 10).collect() == []
+    one = spark.createDataFrame([(7, [0.0, 2.0])], "review_id long, embedding array<double>")
+    index = cellindex.build_index(one, scratch_path(spark, "cells"))
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], "query_id long, embedding array<double>")
+    assert [tuple(r) for r in cellindex.ann_search_many(spark, index, asked, 10).collect()] == [(1, 7, 1.0, 1)]
+    with pytest.raises(ValueError):
+        cellindex.build_index(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "review_id long, embedding array<double>"), scratch_path(spark, "cells"))
