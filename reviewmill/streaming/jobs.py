@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from reviewmill.operators.dedup import EXTERNAL_KEYS, HASH_KEYS
 from reviewmill.operators.incremental import pending_reviews
+from reviewmill.operators.keyindex import KeyIndex, StoredKeys
 from reviewmill.operators.language import LanguageModel
 from reviewmill.plans.importing import import_reviews
 from reviewmill.plans.scoring import Scorer, embed_reviews, score_reviews
@@ -21,6 +23,7 @@ from reviewmill.schemas import REVIEW_EMBEDDINGS, REVIEW_SENTIMENTS, REVIEWS
 from reviewmill.sources.tables import overwrite_batch, read_table
 
 FILES_PER_BATCH = 1000
+KEY_BUCKETS = 64
 _BATCH = "batch_id bigint"
 
 COMPLETED, FAILED = "completed", "failed"
@@ -47,6 +50,17 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
     )
 
 
+def stored_keys(spark: SparkSession, reviews_path: str, keys_path: str, buckets: int = KEY_BUCKETS) -> StoredKeys:
+    """The key indexes of a reviews table. Where there are none yet, they take in the table once."""
+    kinds = (("hashes", HASH_KEYS), ("external-ids", EXTERNAL_KEYS))
+    keys = StoredKeys(tuple(KeyIndex.open(spark, f"{keys_path}/{name}", columns, buckets) for name, columns in kinds))
+    if all(index.stored().isEmpty() for index in keys.indexes):
+        earlier = read_table(spark, reviews_path, f"{REVIEWS}, {_BATCH}")
+        for (number,) in earlier.select(F.coalesce("batch_id", F.lit(-1))).distinct().collect():  # batches, not rows
+            keys.add(earlier.where(F.coalesce("batch_id", F.lit(-1)) == number), number)
+    return keys
+
+
 def stream_import(
     spark: SparkSession,
     landing: str,
@@ -63,10 +77,43 @@ def stream_import(
     files_per_batch: int = FILES_PER_BATCH,
     name_pattern: str | None = None,
     errors_path: str | None = None,
+    keys_path: str | None = None,
+    key_buckets: int = KEY_BUCKETS,
 ) -> StreamingQuery:
     """Import files as they land. The stream carries file paths only (never their bytes);
     the owner columns are expressions over ``path``.
 
+    What is stored is known by key indexes at ``keys_path`` (``<reviews_path>-keys`` if not given). A
+    batch looks its own keys up there and adds those it imported; it neither reads the stored
+    reviews nor writes their keys anew. A replayed batch sees earlier batches only, so it comes
+    to the same result, whether its keys had been added or not.
+    """
+    keys = stored_keys(spark, reviews_path, keys_path or f"{reviews_path.rstrip('/')}-keys", key_buckets)
+    return _import_files(
+        spark, landing, source_format, reviews_path, summary_path, checkpoint, keys, organization_id, product_id, source_id,
+        ingested_at, model, files_per_batch, name_pattern, errors_path,
+    )
+
+
+def _import_files(
+    spark: SparkSession,
+    landing: str,
+    source_format: str,
+    reviews_path: str,
+    summary_path: str,
+    checkpoint: str,
+    keys: StoredKeys,
+    organization_id: Column,
+    product_id: Column,
+    source_id: Column,
+    ingested_at: Column,
+    model: LanguageModel | None,
+    files_per_batch: int,
+    name_pattern: str | None,
+    errors_path: str | None,
+) -> StreamingQuery:
+    """The stream of ``stream_import``.
+
     A file that fails as a whole has a summary row with status ``failed`` and no counts. With
     ``errors_path`` the rejected rows are stored there, and failed files with row number 0.
     """
@@ -92,10 +139,11 @@ def stream_import(
             product_id=product_id,
             source_id=source_id,
             ingested_at=ingested_at,
-            stored=_earlier(batch.sparkSession, reviews_path, REVIEWS, batch_id),
+            stored=keys.until(batch_id),
             model=model,
         )
         overwrite_batch(result.reviews, reviews_path, batch_id)
+        keys.add(result.reviews, batch_id)
         failed = result.failed_files.select("path", *[F.lit(0).cast("long").alias(c) for c in result.summary.columns[1:]])
         summary = result.summary.withColumn("status", F.lit(COMPLETED)).unionByName(failed.withColumn("status", F.lit(FAILED)))
         _overwrite(summary, summary_path, batch_id)

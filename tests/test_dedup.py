@@ -1,9 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewmill.operators import dedup as D
 from reviewmill.operators.joins import hot_keys, split_join
+from reviewmill.operators.keyindex import KeyIndex, StoredKeys
+from reviewmill.session import scratch_path
 
 SCHEMA = "path string, row_number long, organization_id string, content_hash string, source_id string, external_id string"
 
@@ -45,7 +48,7 @@ CHAIN = [pair for j in range(30) for pair in (("o", f"h{j}", "s", f"e{j}"), ("o"
         (random_rows(1, 200, 0.4), {"rows_per_task": 20, "broadcast_bytes": 0}),
         (random_rows(2, 300), {"parallel_rounds": 1}),
         (CHAIN, {"parallel_rounds": 2}),
-        (CHAIN[:12], {"parallel_rounds": 1, "sequential_rows": 0}),
+        (CHAIN[:12], {"parallel_rounds": 1}),
     ],
 )
 def test_dual_key_dedup_equals_the_loop(spark, rows, options):
@@ -53,7 +56,7 @@ def test_dual_key_dedup_equals_the_loop(spark, rows, options):
     assert got == in_sequence(rows)
 
 
-@pytest.mark.parametrize("options", [{}, {"parallel_rounds": 1, "sequential_rows": 0}, {"parallel_rounds": 0}])
+@pytest.mark.parametrize("options", [{}, {"parallel_rounds": 1}, {"parallel_rounds": 0}])
 def test_dual_key_dedup_without_a_tenant(spark, options):
     rows = [(None, "h1", "s", None), (None, "h1", "s", None), (None, "h2", "s", "e1"), ("o", "h1", "s", "e1"), ("o", None, "s", None), (None, "h3", None, "e1")]
     got = sorted(r.row_number for r in D.ordered_dual_key_dedup(frame(spark, rows), **options).collect())
@@ -93,3 +96,68 @@ def test_split_join_equals_a_plain_join(spark, how):
     got = split_join(left, right, ["k"], how, hot, ["i"])
     key = lambda r: str(tuple(r))
     assert sorted(got.select("i", "k").collect(), key=key) == sorted(left.join(right, "k", how).select("i", "k").collect(), key=key)
+
+
+def test_dual_key_dedup_of_a_long_chain(spark):
+    """Each row shares its hash with the row before and its external id with the row after."""
+    n = 100_000
+    i = F.col("id")
+    rows = spark.range(n).select(
+        F.lit("p").alias("path"), i.alias("row_number"), F.lit("o").alias("organization_id"), F.concat(F.lit("h"), F.floor((i + 1) / 2).cast("string")).alias("content_hash"),
+        F.lit("s").alias("source_id"), F.concat(F.lit("e"), F.floor(i / 2).cast("string")).alias("external_id"),
+    )
+    got = D.ordered_dual_key_dedup(rows, parallel_rounds=1).select("row_number")
+    assert got.count() == n // 2 and got.where("row_number % 2 = 1").isEmpty()
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_pointers_equal_the_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(("o", f"h{rng.randint(i // 3, i // 3 + 4)}", "s", None if rng.random() < 0.1 else f"e{rng.randint(i // 3, i // 3 + 3)}")) for i in range(150)]
+    got = sorted(r.row_number for r in D.ordered_dual_key_dedup(frame(spark, rows), parallel_rounds=0).collect())
+    assert got == in_sequence(rows)
+
+
+def both_indexes(spark, buckets=4):
+    root = scratch_path(spark, "keys")
+    return StoredKeys(tuple(KeyIndex.open(spark, f"{root}/{i}", keys, buckets) for i, keys in enumerate((D.HASH_KEYS, D.EXTERNAL_KEYS))))
+
+
+def test_key_index_equals_a_stored_table(spark):
+    rows, stored = frame(spark, random_rows(5, 150, 0.3)), frame(spark, random_rows(6, 80, 0.3))
+    index = both_indexes(spark)
+    numbers = lambda df: sorted(r.row_number for r in df.collect())
+    assert numbers(D.ordered_dual_key_dedup(rows, index)) == numbers(D.ordered_dual_key_dedup(rows))
+    index.add(stored.where("row_number < 50"), 0)
+    index.add(stored.where("row_number >= 30"), 1)
+    for check in (D.already_stored, D.dedup_against_existing, D.dedup_external_id, D.ordered_dual_key_dedup):
+        assert numbers(check(rows, index)) == numbers(check(rows, stored))
+    # a batch that is replayed sees the batches before it only
+    assert numbers(D.already_stored(rows, index.until(1))) == numbers(D.already_stored(rows, stored.where("row_number < 50")))
+    index.add(stored.where("row_number >= 30"), 1)
+    assert numbers(D.already_stored(rows, index)) == numbers(D.already_stored(rows, stored))
+
+
+def test_stored_keys_stay_in_their_buckets(spark):
+    index = both_indexes(spark).of(D.HASH_KEYS)
+    index.add(frame(spark, random_rows(7, 200)), 0)
+    plan = index.known(frame(spark, random_rows(8, 50)))._jdf.queryExecution().executedPlan().toString()
+    stored_side = plan[plan.index("LeftSemi") :].split("FileScan parquet")
+    assert len(stored_side) == 2 and "Bucketed: true" in stored_side[1]
+    # from the join down to the scan of the stored keys there is no exchange
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|*("))
+    lines = plan[plan.index("LeftSemi") :].splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line)
+    above = [lines[scan]]
+    for line in reversed(lines[1:scan]):
+        if depth(line) < depth(above[-1]):
+            above.append(line)
+    assert not any("Exchange" in line for line in above)
+
+
+def test_index_is_found_again_by_its_path(spark):
+    path = scratch_path(spark, "keys")
+    rows = frame(spark, random_rows(9, 40))
+    KeyIndex.open(spark, path, D.HASH_KEYS, 4).add(rows, 3)
+    found = KeyIndex.open(spark.newSession(), path, D.HASH_KEYS, 4)
+    assert found.stored().count() == rows.select(*D.HASH_KEYS).distinct().count()
