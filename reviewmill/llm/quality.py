@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reviewmill.llm.labels import logistic, training_texts
-from reviewmill.llm.words import batches_of, texts_of
+from reviewmill.llm.words import batches_of, freeing, texts_of
 
 CHUNK = 512
 DICTIONARY_BYTES = 1 << 18
@@ -74,7 +74,7 @@ def _samples(texts: DataFrame) -> pa.Table:
                         samples.append(text[i : i + SAMPLE_BYTES])
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(marks, pa.int32()), pa.array(samples, pa.binary())], names=["doc_id", "at", "y", "sample"])
 
-    pieces = texts.select("doc_id", "y", "text").mapInArrow(cut, "doc_id long, at long, y int, sample binary")
+    pieces = texts.select("doc_id", "y", "text").mapInArrow(freeing(cut), "doc_id long, at long, y int, sample binary")
     return pieces.orderBy("doc_id", "at").select("y", "sample").toArrow()
 
 
@@ -126,7 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
             found = [sizes.difference(text) for text in texts_of(batch.column("text"))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.float64())], names=["doc_id", "y", "x"])
 
-    rows = sample.where(third == 0).select("doc_id", "y", "text").mapInArrow(differences, "doc_id long, y int, x double").orderBy("doc_id").toArrow()
+    rows = sample.where(third == 0).select("doc_id", "y", "text").mapInArrow(freeing(differences), "doc_id long, y int, x double").orderBy("doc_id").toArrow()
     x, z = np.array(rows.column("x").to_pylist(), float), np.array(rows.column("y").to_pylist(), float)
     if len(set(z.tolist())) < 2:
         return Compression(good, bad, 0.0, prior)
@@ -149,4 +149,4 @@ def score_quality(docs: DataFrame, model: Compression) -> DataFrame:
             scores = pa.array([m.probability(sizes.difference(text)) for text in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, "quality_score"])
 
-    return plain.mapInArrow(scored, StructType([*plain.schema]).add("quality_score", "double"))
+    return plain.mapInArrow(freeing(scored), StructType([*plain.schema]).add("quality_score", "double"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructType
 
+from reviewmill.llm.words import freeing, sliced
+
 # The shapes of known secrets, each with its least length.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -192,7 +194,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for value in batch.column(kept.index(text)).to_pylist():
                 value = value or ""
@@ -202,7 +204,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     span = StructType().add("kind", "string").add("start", "long").add("end", "long")
     added = StructType([*schema]).add("secrets", ArrayType(span))
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(scanned, added)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(freeing(scanned), added)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -215,7 +217,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def redacted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             lengths = batch.column(chars).to_pylist() if chars is not None else []
             for i, value in enumerate(texts):
@@ -236,4 +238,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 arrays[chars] = pa.array(lengths, batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return docs.mapInArrow(redacted, schema)
+    return docs.mapInArrow(freeing(redacted), schema)

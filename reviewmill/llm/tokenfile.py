@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.encoding import encoder
-from reviewmill.llm.words import batches_of
+from reviewmill.llm.words import batches_of, freeing
 
 BLOCK_TOKENS = 1 << 16
 BLOCKS = "shard int, block int, bits int, n_tokens long, doc_ids array<long>, firsts array<long>, packed binary"
@@ -95,7 +95,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, files: in
 
     spread = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(files, "doc_id", "_tie")
     ordered = spread.sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCKS).write.parquet(path)
+    ordered.mapInArrow(freeing(blocks), BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +110,7 @@ def document_tokens(blocks: DataFrame) -> DataFrame:
         for keys, ids, _, _, _ in _documents(batches):
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([x.tolist() for x in ids], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return blocks.mapInArrow(unpacked, "doc_id long, ids array<long>")
+    return blocks.mapInArrow(freeing(unpacked), "doc_id long, ids array<long>")
 
 
 def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[int], int, int]]:
@@ -147,5 +147,5 @@ def document_digests(blocks: DataFrame) -> DataFrame:
     bases = counts.join(before, "shard").select(
         "shard", "block", (F.col("base") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("base")
     )
-    rows = blocks.mapInArrow(digests, "shard int, block int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    rows = blocks.mapInArrow(freeing(digests), "shard int, block int, doc_id long, first long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reviewmill.llm.labels import logistic, training_texts
-from reviewmill.llm.words import WordValues, batches_of, segments, texts_of
+from reviewmill.llm.words import WordValues, batches_of, freeing, segments, sliced, texts_of
 from reviewmill.session import cut_lineage
 
 BUCKETS = 1 << 20
@@ -92,34 +92,44 @@ def choose_terms(sets: list[np.ndarray]) -> np.ndarray:
     return buckets[n >= LEAST_DOCS]
 
 
+class _Batch:
+    """Documents trained on together: their terms, and where equal terms lie."""
+
+    def __init__(self, data: list[np.ndarray]):
+        self.ids = np.concatenate(data)
+        self.lengths = np.array([len(d) for d in data])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.order = np.argsort(self.ids, kind="stable")
+        ordered = self.ids[self.order]
+        self.firsts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        self.used = ordered[self.firsts]
+
+
 def _train(data: list[np.ndarray], y: np.ndarray, m: int, seed: int, epochs: int, rate: float, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by AdaGrad. Row ``m`` closes every document and stays zero."""
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(m + 1), rng.normal(0, 0.01, (m + 1, FACTORS))
+    w, v = np.zeros(m + 1, np.float32), rng.normal(0, 0.01, (m + 1, FACTORS)).astype(np.float32)
     v[m] = 0
     bias, bias_sum = 0.0, 1e-8
-    w_sum, v_sum = np.full(m + 1, 1e-8), np.full(v.shape, 1e-8)
+    w_sum, v_sum = np.full(m + 1, 1e-8, np.float32), np.full(v.shape, 1e-8, np.float32)
+    order = rng.permutation(len(data))
+    groups = [order[start : start + 64] for start in range(0, len(order), 64)]
+    batches = [(_Batch([data[i] for i in g]), y[g]) for g in groups]
     for _ in range(epochs):
-        order = rng.permutation(len(data))
-        for start in range(0, len(order), 64):
-            batch = order[start : start + 64]
-            ids = np.concatenate([data[i] for i in batch])
-            lengths = np.array([len(data[i]) for i in batch])
-            starts = np.cumsum(lengths) - lengths
-            vi = v[ids]
-            total = np.add.reduceat(vi, starts)
-            raw = bias + np.add.reduceat(w[ids], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vi**2).sum(1), starts))
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[batch]
-            each = np.repeat(error, lengths) / len(batch)
-            used, place = np.unique(ids, return_inverse=True)
-            gw = np.bincount(place, each, len(used)) + decay * w[used]
-            gv = np.zeros((len(used), FACTORS))
-            np.add.at(gv, place, each[:, None] * (np.repeat(total, lengths, axis=0) - vi))
-            gv += decay * v[used]
-            w_sum[used] += gw**2
-            v_sum[used] += gv**2
-            w[used] -= rate * gw / np.sqrt(w_sum[used])
-            v[used] -= rate * 0.2 * gv / np.sqrt(v_sum[used])
+        for at in rng.permutation(len(batches)):
+            b, marks = batches[at]
+            vi = v.take(b.ids, axis=0)
+            total = np.add.reduceat(vi, b.starts)
+            raw = bias + np.add.reduceat(w.take(b.ids), b.starts) + 0.5 * (np.einsum("ij,ij->i", total, total) - np.add.reduceat(np.einsum("ij,ij->i", vi, vi), b.starts))
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - marks).astype(np.float32)
+            each = np.repeat(error / np.float32(len(marks)), b.lengths)
+            pull = each[:, None] * (np.repeat(total, b.lengths, axis=0) - vi)
+            wu, vu = w.take(b.used), v.take(b.used, axis=0)
+            gw = np.add.reduceat(each.take(b.order), b.firsts) + decay * wu
+            gv = np.add.reduceat(pull.take(b.order, axis=0), b.firsts) + decay * vu
+            ws, vs = w_sum.take(b.used) + gw * gw, v_sum.take(b.used, axis=0) + gv * gv
+            w_sum[b.used], v_sum[b.used] = ws, vs
+            w[b.used], v[b.used] = wu - rate * gw / np.sqrt(ws), vu - rate * 0.2 * gv / np.sqrt(vs)
             w[m], v[m] = 0, 0
             gb = float(error.mean())
             bias_sum += gb**2
@@ -160,11 +170,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [terms.of(text).tolist() for text in texts_of(batch.column("text"))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "terms"])
 
-    rows = cut_lineage(sample.select("doc_id", "y", "text").mapInArrow(sets, "doc_id long, y int, terms array<int>"), "toxic-terms")
+    rows = cut_lineage(sample.select("doc_id", "y", "text").mapInArrow(freeing(sets), "doc_id long, y int, terms array<int>"), "toxic-terms")
     table = rows.orderBy("doc_id").toArrow()
     found = [np.array(x, np.int32) for x in table.column("terms").to_pylist()]
     y = np.array(table.column("y").to_pylist(), float)
@@ -184,4 +194,4 @@ def score_toxicity(docs: DataFrame, machine: Machine, column: str = "toxicity")
             scores = pa.array([m.score(terms.of(text)) for text in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, column])
 
-    return plain.mapInArrow(scored, StructType([*plain.schema]).add(column, "double"))
+    return plain.mapInArrow(freeing(scored), StructType([*plain.schema]).add(column, "double"))

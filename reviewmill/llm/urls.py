@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from reviewmill.llm.words import freeing
 from reviewmill.operators.joins import BROADCAST_FILE_BYTES, lookup_join, stored_bytes
 from reviewmill.session import cut_lineage
 
@@ -127,7 +128,7 @@ def _exploded(rows: DataFrame, find: Callable[..., Iterable[tuple]], **columns:
         for batch in batches:
             yield from _batches((x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in find(*row)), schema)
 
-    return rows.mapInArrow(found, from_arrow_schema(schema))
+    return rows.mapInArrow(freeing(found), from_arrow_schema(schema))
 
 
 def _small(table: DataFrame) -> bool:
@@ -155,7 +156,7 @@ def count_words(parsed: DataFrame, text: str = "html") -> DataFrame:
                     counts.clear()
         yield from _batches(counts.items(), schema)
 
-    counted = parsed.select(F.col(f"`{text}`"), "path").mapInArrow(words, "word string, n long")
+    counted = parsed.select(F.col(f"`{text}`"), "path").mapInArrow(freeing(words), "word string, n long")
     return cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
 
 
