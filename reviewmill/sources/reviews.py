@@ -43,17 +43,22 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+_CSV = {"multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+
+
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Files grouped by their header line: one short job over the first line of each file."""
-    lines = spark.read.text(paths).select("value", *file_columns())
-    first = (
-        lines.where((F.col("_block") == 0) & (F.length("value") > 0))
-        .groupBy("path")
-        .agg(F.min_by("value", "_seq").alias("header"))
+    """Files grouped by their first record, which may span lines. A record of more than the one
+    cell of the schema is kept whole, as it was written."""
+    records = (
+        spark.read.options(**_CSV, header="false", columnPruning="false", columnNameOfCorruptRecord="_record")
+        .schema("c0 string, _record string")
+        .csv(paths)
+        .select(F.coalesce("_record", "c0", F.lit("")).alias("header"), *file_columns())
     )
+    first = records.groupBy("path").agg(F.min_by("header", F.struct("_block", "_seq")).alias("header"))
     grouped: dict[str, list[str]] = defaultdict(list)
     for row in first.toLocalIterator():
-        grouped[row.header.removeprefix("﻿")].append(row.path)
+        grouped[row.header.removeprefix("\ufeff")].append(row.path)
     return grouped
 
 
@@ -72,8 +77,7 @@ def read_csv(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def _read_csv_group(spark: SparkSession, files: list[str]) -> DataFrame:
-    options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    header = spark.read.options(**options | {"header": "false"}).csv(files[0]).first()
+    header = spark.read.options(**_CSV, header="false").csv(files[0]).first()
     names = [cell or "" for cell in header]
     names[0] = names[0].removeprefix("\ufeff")
     # Names come from the raw first record and positions go into the schema, so odd or repeated
@@ -81,7 +85,7 @@ def _read_csv_group(spark: SparkSession, files: list[str]) -> DataFrame:
     # is read into a dictionary.
     schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", _record string"
     raw = (
-        spark.read.options(**options)
+        spark.read.options(**_CSV, header="true")
         .option("columnNameOfCorruptRecord", "_record")
         .option("columnPruning", "false")
         .schema(schema)

@@ -190,3 +190,13 @@ def test_snapshots(spark, tmp_path):
     tables.write_snapshot(old.where("id > 0"), path)
     (tmp_path / "t" / "snapshot=99999999999999999999").mkdir()
     assert (old.count(), tables.read_snapshot(spark, path, "id bigint").count()) == (3, 2)
+
+
+def test_csv_headers_that_span_lines(spark, tmp_path):
+    """Two files whose headers share the first line only, one header of a single cell, one empty file."""
+    (tmp_path / "a.csv").write_text('text,"no\nte"\nshort hose,x\n')
+    (tmp_path / "b.csv").write_text('text,"no\nx",rating\nlong hose,y,4\n')
+    (tmp_path / "c.csv").write_text("text\nonly a text\n")
+    (tmp_path / "d.csv").write_text("")
+    rows = {r.text.value: (r.row_number, r.rating.kind, r.rating.value) for r in read_reviews(spark, str(tmp_path), "csv").collect()}
+    assert rows == {"short hose": (2, "absent", None), "long hose": (2, "string", "4"), "only a text": (2, "absent", None)}
