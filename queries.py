@@ -1154,6 +1154,80 @@ def check_domain(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.check_domain("reviews", rows)
 
 
+def constrained(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Stand-ins for all tables with rules; some of their keys repeat, some point nowhere."""
+    moment = F.timestamp_seconds(F.lit(EPOCH_2024))
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    customers = table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    owner, product = F.col("n_regionkey").cast("long").alias("organization_id"), F.col("n_nationkey").cast("long").alias("product_id")
+    orders = table(spark, sf, "orders")
+    results = orders.select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 2).alias("review_id"), (F.col("o_custkey") % 6).alias("organization_id"),
+        (F.col("o_custkey") % 25).alias("product_id"), F.col("o_orderstatus").alias("model_version"), F.lit("m").alias("model_name"),
+    )
+    return {
+        "organizations": organizations_of(spark, sf),
+        "users": table(spark, sf, "customer").select(
+            F.col("c_custkey").alias("id"), F.col("c_name").alias("auth_subject"), F.lit(True).alias("is_active"),
+            F.concat("c_mktsegment", F.lit("@"), F.col("c_nationkey").cast("string")).alias("email"),
+        ),
+        "memberships": table(spark, sf, "supplier").select(
+            F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 6).alias("organization_id"), (F.col("s_suppkey") % 45).alias("user_id"), F.lit("viewer").alias("role"),
+        ),
+        "products": products_of(spark, sf),
+        "sources": sources_of(spark, sf),
+        "reviews": customers.select(
+            F.col("c_custkey").alias("id"), owner, product, (F.col("c_custkey") % 120).alias("source_id"),
+            F.when(F.col("c_custkey") % 3 != 0, F.floor(F.col("c_custkey") / 4).cast("string")).alias("external_id"), moment.alias("occurred_at"),
+        ),
+        "review_sentiments": results,
+        "review_embeddings": results.where("model_version = 'F'"),
+    }
+
+
+CONSTRAINED_SQL = f"""{OWNERS_SQL},
+users AS (SELECT c_custkey AS id, c_name AS auth_subject, c_mktsegment || '@' || c_nationkey AS email FROM customer),
+memberships AS (SELECT s_suppkey AS id, s_suppkey % 6 AS organization_id, s_suppkey % 45 AS user_id FROM supplier),
+reviews AS (SELECT c_custkey AS id, n_regionkey AS organization_id, n_nationkey AS product_id, c_custkey % 120 AS source_id,
+  CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey // 4 AS VARCHAR) END AS external_id FROM customer JOIN nation ON n_nationkey = c_nationkey),
+review_sentiments AS (SELECT o_orderkey AS id, o_custkey * 2 AS review_id, o_custkey % 6 AS organization_id, o_custkey % 25 AS product_id, o_orderstatus AS model_version FROM orders),
+review_embeddings AS (SELECT * FROM review_sentiments WHERE model_version = 'F')"""
+
+#: Every uniqueness rule and foreign key of the stand-ins, as SQL: table, columns (and parent, columns).
+UNIQUE_RULES_SQL = (
+    ("organizations", "lower(name)", "slug"), ("users", "auth_subject", "auth_subject"), ("users", "email", "email"),
+    ("memberships", "organization_id || '|' || user_id", "organization_id,user_id"), ("products", "organization_id || '|' || lower(name)", "organization_id,key"),
+    ("products", "id || '|' || organization_id", "id,organization_id"), ("sources", "id || '|' || product_id || '|' || organization_id", "id,product_id,organization_id"),
+    ("sources", "product_id || '|csv|' || name", "product_id,source_type,external_reference"), ("reviews", "source_id || '|' || external_id", "source_id,external_id"),
+    ("reviews", "id || '|' || organization_id", "id,organization_id"), ("review_sentiments", "review_id || '|' || model_version", "review_id,model_version"),
+    ("review_embeddings", "review_id || '|' || model_version", "review_id,model_version"),
+)
+FOREIGN_RULES_SQL = (
+    ("memberships", "organization_id", "organizations", "id"), ("memberships", "user_id", "users", "id"), ("products", "organization_id", "organizations", "id"),
+    ("sources", "product_id,organization_id", "products", "id,organization_id"), ("reviews", "product_id,organization_id", "products", "id,organization_id"),
+    ("reviews", "source_id,product_id,organization_id", "sources", "id,product_id,organization_id"),
+    *[(t, "review_id,organization_id", "reviews", "id,organization_id") for t in ("review_sentiments", "review_embeddings")],
+    *[(t, "product_id,organization_id", "products", "id,organization_id") for t in ("review_sentiments", "review_embeddings")],
+)
+
+
+@register(f"WITH {CONSTRAINED_SQL} " + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{rule}' AS rule, CAST({key} AS VARCHAR) AS key, count(*) AS rows FROM {t} WHERE {key} IS NOT NULL GROUP BY ALL HAVING count(*) > 1"
+    for t, key, rule in UNIQUE_RULES_SQL))
+def unique_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """All twelve uniqueness rules in one pass."""
+    return integrity.unique_sweep(constrained(spark, sf)).withColumn("key", F.array_join("key", "|"))
+
+
+@register(f"WITH {CONSTRAINED_SQL} " + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{keys}' AS rule, CAST(c.id AS VARCHAR) AS id FROM {t} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE "
+    + " AND ".join(f"p.{a} = c.{b}" for a, b in zip(parent_keys.split(","), keys.split(","), strict=True)) + ")"
+    for t, keys, parent, parent_keys in FOREIGN_RULES_SQL))
+def foreign_key_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """All foreign keys between the tables in one join."""
+    return integrity.foreign_key_sweep(constrained(spark, sf)).select("table_name", "rule", "id")
+
+
 @register(f"""WITH {OWNERS_SQL}
 SELECT 'products' AS table_name, id FROM products WHERE organization_id <> 1
 UNION ALL SELECT 'sources', s.id FROM sources s WHERE organization_id <> 1

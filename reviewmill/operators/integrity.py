@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.operators.joins import lookup_join, settled
@@ -47,6 +47,69 @@ def check_table_foreign_keys(name: str, tables: dict[str, DataFrame]) -> dict[tu
     }
 
 
+def _tagged(keys: Sequence[str], *tags: Column) -> Column:
+    """A struct of tags and a complete key as texts; NULL where the key has a NULL."""
+    parts = F.array(*[F.col(k).cast("string") for k in keys])
+    return F.when(_given(keys), F.struct(*tags, parts.alias("key")))
+
+
+def unique_sweep(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, rule, key, rows``: violations of every uniqueness rule of all ``tables``.
+
+    Each row becomes one tagged key per rule of its table, so that all rules of all tables share
+    one aggregate and one exchange. ``rule`` names the columns, ``key`` holds their values as texts.
+    A rule with a column that its table does not have is left out.
+    """
+    found = []
+    for name, df in tables.items():
+        rules = [keys for keys in UNIQUE_KEYS.get(name, []) if set(keys) <= set(df.columns)]
+        tagged = [_tagged(keys, F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("rule")) for keys in rules]
+        if tagged:
+            found.append(df.select(F.inline(F.array_compact(F.array(*tagged)))))
+    if not found:
+        return _nothing(tables, "table_name string, rule string, key array<string>, rows long")
+    counts = reduce(DataFrame.unionAll, found).groupBy("table_name", "rule", "key").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.where(F.col("rows") > 1)
+
+
+def foreign_key_sweep(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, rule, id, key``: rows of all ``tables`` whose key has no parent, under every rule.
+
+    The distinct keys of all children meet those of all parents in one join; copies collapse
+    before the exchange, so a parent with many children is no hot key. Rules whose parent table
+    is not given, or whose columns are absent, are left out.
+    """
+    children, parents = [], {}
+    for name, df in tables.items():
+        tagged = []
+        for keys, parent, parent_keys in FOREIGN_KEYS.get(name, []):
+            if parent in tables and set(keys) <= set(df.columns) and set(parent_keys) <= set(tables[parent].columns):
+                target = F.lit(f"{parent}({','.join(parent_keys)})").alias("target")
+                tagged.append(_tagged(keys, F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("rule"), target))
+                parents[parent, parent_keys] = tables[parent].select(F.inline(F.array_compact(F.array(_tagged(parent_keys, target)))))
+        if tagged:
+            children.append(df.select(F.col("id").cast("string").alias("id"), F.inline(F.array_compact(F.array(*tagged)))))
+    if not children:
+        return _nothing(tables, "table_name string, rule string, id string, key array<string>")
+    rows = reduce(DataFrame.unionAll, children)
+    asked = rows.select("target", "key").distinct()
+    orphans = asked.join(reduce(DataFrame.unionAll, parents.values()).distinct(), ["target", "key"], "left_anti")
+    return lookup_join(rows, orphans, ["target", "key"], "left_semi", spread=["id"]).select("table_name", "rule", "id", "key")
+
+
+def domain_sweep(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, id, violation`` over all ``tables``; nothing is shuffled."""
+    found = [
+        check_domain(name, df).select(F.lit(name).alias("table_name"), F.col("id").cast("string").alias("id"), "violation") for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionAll, found) if found else _nothing(tables, "table_name string, id string, violation string")
+
+
+def _nothing(tables: dict[str, DataFrame], schema: str) -> DataFrame:
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    return spark.createDataFrame([], schema)
+
+
 def check_domain(name: str, df: DataFrame) -> DataFrame:
     """``id, violation`` for values outside the enums, NULL rules, lengths and ranges."""
     found: list[Column] = []

@@ -47,6 +47,24 @@ def test_constraints(spark):
     assert [r.id for r in orphans[("product_id", "organization_id")].collect()] == [2]
 
 
+def test_sweeps_equal_the_single_checks(spark):
+    tables = {
+        "organizations": spark.createDataFrame([("o", "a"), ("q", "a"), ("r", None), ("t", None)], "id string, slug string"),
+        "products": spark.createDataFrame([("p", "o", "k"), ("p", "o", "m"), ("x", "zz", "k"), (None, "o", "k")], "id string, organization_id string, key string"),
+        "reviews": spark.createDataFrame([(1, "p", "o", "s", "e"), (2, "p", "q", "s", "e"), (3, None, "o", "s", None)], "id int, product_id string, organization_id string, source_id string, external_id string"),
+    }
+    found = sorted((r.table_name, r.rule, tuple(r.key), r.rows) for r in integrity.unique_sweep(tables).collect())
+    single = [(name, ",".join(keys), tuple(str(r[k]) for k in keys), r.rows) for name, df in tables.items() for keys, bad in integrity.check_table_unique(name, df).items() for r in bad.collect()]
+    assert found == sorted(single) and len(found) == 4
+    orphans = sorted((r.table_name, r.rule, r.id) for r in integrity.foreign_key_sweep(tables).collect())
+    assert orphans == [("products", "organization_id", "x"), ("reviews", "product_id,organization_id", "2")]
+    plan = integrity.unique_sweep(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    domains = sorted((r.table_name, r.id, r.violation) for r in integrity.domain_sweep({"reviews": tables["reviews"].withColumn("rating", F.lit(9))}).collect() if "rating" in r.violation)
+    assert domains == [("reviews", str(i), "rating: outside 1..5") for i in (1, 2, 3)]
+    assert integrity.unique_sweep({}).collect() == integrity.foreign_key_sweep({}).collect() == []
+
+
 def test_jobs(spark):
     rows = [(1, "pending", None, None, 0), (2, "pending", 990, None, 1), (3, "processing", None, 0, 1), (4, "pending", None, None, 5), (5, "failed", None, 0, 1)]
     df = spark.createDataFrame(rows, "id int, status string, d long, s long, attempts int").select(
