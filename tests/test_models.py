@@ -276,3 +276,11 @@ def test_index_of_little(spark):
     assert [tuple(r) for r in cellindex.ann_search_many(spark, index, asked, 10).collect()] == [(1, 7, 1.0, 1)]
     with pytest.raises(ValueError):
         cellindex.build_index(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "review_id long, embedding array<double>"), scratch_path(spark, "cells"))
+
+
+def test_corpus_statistics_are_those_of_all_labelled_rows(spark, examples):
+    few = S.fit_sentiment(examples, training_rows=9)
+    every = S.fit_sentiment(examples)
+    known = lambda m: {r["hash"]: round(r.weight, 9) for r in m.terms.collect()}
+    assert known(few) == known(every) and few.term_count == every.term_count
+    assert few.terms.where(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.abs(x)) == 0).count() > 0
