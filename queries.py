@@ -939,6 +939,39 @@ def predict_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", F.col("label").isin(*model.labels).alias("known_label"), F.col("score").between(least, 1 + 1e-9).alias("score_in_range"))
 
 
+@register()
+def predicted_sentiments(spark: SparkSession, sf: str) -> DataFrame:
+    """Label and score of every document, by a model fitted on the labelled ones."""
+    model = sentiment.fit_sentiment(examples_of(spark, sf))
+    return sentiment.predict_sentiment(table(spark, sf, "documents").select("doc_id", "text"), model).select("doc_id", "label", "score")
+
+
+@register(f"""WITH {SENTIMENTS_SQL}, c AS (SELECT label, count(*) AS n FROM sentiments GROUP BY label)
+SELECT CAST(sum(n) AS BIGINT) AS labelled, round(max(n) / CAST(sum(n) AS DOUBLE), 9) AS majority_share, true AS beats_majority, true AS every_label_found FROM c""")
+def sentiment_fit_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """What no constant model reaches: on its own labelled rows the fitted one is right more often
+    than the commonest label is, and finds rows of every label."""
+    examples = examples_of(spark, sf).select("text", F.col("label").alias("truth"))
+    scored = sentiment.predict_sentiment(examples, sentiment.fit_sentiment(examples, label="truth"))
+    counts = cut_lineage(scored.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("truth") == F.col("label")).alias("hit")), "fit-quality")
+    majority = F.max("n") / F.sum("n")
+    return counts.agg(
+        F.sum("n").alias("labelled"), F.round(majority, 9).alias("majority_share"),
+        (F.sum("hit") / F.sum("n") > majority).alias("beats_majority"), (F.min("hit") > 0).alias("every_label_found"),
+    )
+
+
+@register()
+def train_on_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on what ``labels`` marks for even ids, evaluate on odd ids; the measured figures, whether
+    or not they reach the gate."""
+    examples = examples_of(spark, sf)
+    train, held_out = (examples.where(F.col("doc_id") % 2 == i).select("text", "label") for i in (0, 1))
+    _, evaluation = training.train_and_evaluate(train, held_out)
+    gate = (F.col("macro_f1") >= training.MACRO_F1_GATE).alias("reached_gate")
+    return evaluation.summary.select("sample_count", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), gate)
+
+
 @register("""SELECT CAST(count(*) AS BIGINT) AS sample_count, true AS reached_gate, true AS report_agrees
 FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 1""")
 def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
@@ -1062,19 +1095,20 @@ def _shape(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.size("embedding").alias("width"), unit.alias("unit_or_zero"))
 
 
-@register("SELECT conv_id, turn, 64 AS width, true AS unit_or_zero FROM conversations")
+@register(r"""SELECT conv_id, turn, 64 AS width, true AS unit_or_zero, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) > 0 AS has_length
+FROM conversations""")
 def fit_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on the conversations, publish, read back, embed the conversations."""
+    """Fit on the conversations, publish, read back, embed the conversations: each with a word has
+    a vector of length 1, and none of zeros."""
     root = scratch_path(spark, "registry")
     corpus = table(spark, sf, "conversations")
     training.publish_embedding(spark, root, "v1", corpus, dimensions=64)
     model = registry.load_embedding_model(spark, root, "v1")
-    return _shape(embedding.embed(corpus, model), "conv_id", "turn")
+    embedded = embedding.embed(corpus, model).withColumn("has_length", F.exists("embedding", lambda x: x != 0))
+    return _shape(embedded, "conv_id", "turn", "has_length")
 
 
-@register("SELECT doc_id AS review_id, 64 AS width, true AS unit_or_zero FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
-def embed_pending(spark: SparkSession, sf: str) -> DataFrame:
-    """Embed the labelled reviews that have no vector yet, with a model fitted on conversations."""
+def _embedded_pending(spark: SparkSession, sf: str) -> DataFrame:
     model = embedding.fit_embedding(table(spark, sf, "conversations"), dimensions=64)
     stored = _embedded(spark, sf).withColumn("id", F.col("review_id")).select(
         "id", "organization_id", F.lit("p").alias("product_id"), "review_id", F.lit("m").alias("model_name"),
@@ -1083,12 +1117,23 @@ def embed_pending(spark: SparkSession, sf: str) -> DataFrame:
     run = scoring.embed_pending(
         clean_reviews(spark, sf), stored, embedding.embedder(model), "v1", F.timestamp_seconds(F.lit(EPOCH_2024))
     )
-    return _shape(run.embedded_rows, "review_id")
+    return run.embedded_rows
 
 
-@register("""SELECT least(10, count(*)) AS hits, true AS recall_reached FROM documents WHERE lang = 'en' AND source = 'src2'""")
-def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on the reviews of one product, embed them, search them by text."""
+@register("SELECT doc_id AS review_id, 64 AS width, true AS unit_or_zero FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def embed_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Embed the labelled reviews that have no vector yet, with a model fitted on conversations."""
+    return _shape(_embedded_pending(spark, sf), "review_id")
+
+
+@register()
+def embedded_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors themselves of the reviews that had none."""
+    return _embedded_pending(spark, sf).select("review_id", "model_version", "embedding")
+
+
+def _semantic_hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Fit on the reviews of one product, embed them, search them by text; hits and what is exact."""
     clean = clean_reviews(spark, sf)
     corpus = corpora.read_corpus_from_reviews(clean, "en", "src2")
     embedder = embedding.embedder(embedding.fit_embedding(corpus, dimensions=64))
@@ -1099,7 +1144,20 @@ def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
     found = searching.semantic_search(stored, clean, embedder, asked, "v1", "en", "src2")
     vector = embedder(spark.createDataFrame([(asked,)], "text_normalized string")).first()["embedding"]
     similarity = vectors.cosine_similarity(F.col("embedding").cast("array<double>"), F.array(*[F.lit(float(x)) for x in vector]))
-    exact = stored.select("review_id", similarity.alias("s")).orderBy(F.desc("s"), "review_id").limit(10)
+    return found, stored.select("review_id", similarity.alias("s")).orderBy(F.desc("s"), "review_id").limit(10)
+
+
+@register()
+def semantic_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The reviews that a search by text finds, with their similarity."""
+    found, _ = _semantic_hits(spark, sf)
+    return found.select("review_id", "text_redacted", "language", "rating", "occurred_at", F.round("similarity", 6).alias("similarity"))
+
+
+@register("""SELECT least(10, count(*)) AS hits, true AS recall_reached FROM documents WHERE lang = 'en' AND source = 'src2'""")
+def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
+    """How many reviews a search by text finds, and whether they are the nearest ones."""
+    found, exact = _semantic_hits(spark, sf)
     return _recall(found, exact, exact.count(), 0.9)
 
 
