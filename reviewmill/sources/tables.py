@@ -11,7 +11,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewmill.operators.incremental import RESULT_KEYS, upsert
+from reviewmill.operators.joins import settled
 from reviewmill.schemas import IMPORT_FORMATS
+from reviewmill.session import cut_lineage
 
 PARTITIONS = ("organization_id", "product_id")
 
@@ -52,14 +55,39 @@ def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
         raise
 
 
+def _partitioned(rows: DataFrame) -> DataFrame:
+    """Rows dealt by tenant, product and one of a few shares, so that a partition has few files
+    and a tenant that owns a third of the rows is not written by one task."""
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(FILES_PER_PARTITION))
+    return rows.repartition(*PARTITIONS, share)
+
+
 def append_reviews(reviews: DataFrame, path: str) -> None:
-    """Add accepted reviews to the stored table, partitioned by tenant and product.
+    """Add accepted reviews to the stored table, partitioned by tenant and product."""
+    _partitioned(reviews).write.partitionBy(*PARTITIONS).mode("append").parquet(path)
+
+
+def store_results(
+    spark: SparkSession, path: str, schema: str, incoming: DataFrame, update: Sequence[str], keys: Sequence[str] = RESULT_KEYS
+) -> None:
+    """Merge ``incoming`` into the stored results at ``path``, as ``operators.incremental.upsert`` does,
+    and rewrite only the partitions (tenant, product) that it meets.
 
-    Rows meet by tenant, product and one of a few shares, so that a partition has few files and
-    a tenant that owns a third of the rows is not written by one task.
+    These are the partitions of the batch and those that hold one of its keys; they are found by
+    key columns alone. The files of all others stay as they are. Tenant and product must be given.
     """
-    share = F.pmod(F.xxhash64(*reviews.columns), F.lit(FILES_PER_PARTITION))
-    reviews.repartition(*PARTITIONS, share).write.partitionBy(*PARTITIONS).mode("append").parquet(path)
+    incoming = cut_lineage(incoming, "results-batch")
+    if not incoming.where(F.col(PARTITIONS[0]).isNull() | F.col(PARTITIONS[1]).isNull()).isEmpty():
+        raise ValueError(f"results without {' or '.join(PARTITIONS)}")
+    stored = read_table(spark, path, schema)
+    asked, small = settled(incoming.select(*keys).distinct())
+    held = stored.select(*keys, *PARTITIONS).join(F.broadcast(asked) if small else asked, list(keys), "left_semi")
+    touched, few = settled(incoming.select(*PARTITIONS).unionByName(held.select(*PARTITIONS)).distinct())
+    mine = stored.join(F.broadcast(touched) if few else touched, list(PARTITIONS), "left_semi").select(*stored.columns)
+    merged = upsert(mine, incoming.select(*stored.columns), update, keys)
+    writer = _partitioned(merged).write.partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
 
 
 def overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from reviewmill.operators import analytics, incremental, integrity, jobs, relational
 from reviewmill.operators.incremental import upsert
 from reviewmill.schemas import REVIEW_SENTIMENTS, REVIEWS
-from reviewmill.sources.tables import read_table
+from reviewmill.sources.tables import read_table, store_results
 from reviewmill.streaming.jobs import stream_import, stream_score
 
 
@@ -27,6 +27,30 @@ def test_upsert(spark, monkeypatch, small):
     assert got == [(1, "v1", None, 0.9, "m"), (1, "v2", "c", 0.3, "m"), (2, "v1", None, None, "m"), (3, "v1", "x", 0.8, "n")]
 
 
+def test_stored_results_change_only_the_partitions_they_meet(spark, tmp_path):
+    path, at = str(tmp_path / "sentiments"), F.timestamp_seconds(F.lit(1))
+
+    def rows(*given):
+        made = spark.createDataFrame(list(given), "organization_id string, product_id string, review_id string, label string")
+        return made.select("review_id", "organization_id", "product_id", "review_id", F.lit("m").alias("model_name"), F.lit("v1").alias("model_version"), "label", F.lit(0.5).alias("score"), at.alias("created_at")).toDF(*[f.split()[0] for f in REVIEW_SENTIMENTS.split(", ")])
+
+    def files():
+        return {p.parent.parent.name + "/" + p.parent.name: p.name for p in (tmp_path / "sentiments").rglob("part-*.parquet")}
+
+    store = lambda df: store_results(spark, path, REVIEW_SENTIMENTS, df, ("label", "score"))
+    store(rows(("o", "p", "a", "positive"), ("o", "q", "b", "neutral"), ("u", "p", "c", "negative")))
+    before = files()
+    store(rows(("o", "p", "a", "negative"), ("o", "p", "d", "neutral"), ("u", "new", "c", "neutral")))
+    after = files()
+    assert before["organization_id=o/product_id=q"] == after["organization_id=o/product_id=q"]
+    assert before["organization_id=o/product_id=p"] != after["organization_id=o/product_id=p"]
+    got = sorted((r.organization_id, r.product_id, r.review_id, r.label) for r in read_table(spark, path, REVIEW_SENTIMENTS).collect())
+    # a key that is stored elsewhere is changed where it is
+    assert got == [("o", "p", "a", "negative"), ("o", "p", "d", "neutral"), ("o", "q", "b", "neutral"), ("u", "p", "c", "neutral")]
+    with pytest.raises(ValueError):
+        store(rows((None, "p", "x", "neutral")))
+
+
 def test_percentages_round_ties_to_even(spark):
     rows = [("o", "p", "v", "positive", 15), ("o", "p", "v", "negative", 1)]
     df = spark.createDataFrame(rows, "organization_id string, product_id string, model_version string, label string, count long")
