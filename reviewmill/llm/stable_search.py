@@ -41,7 +41,7 @@ def chi_square(x: float, freedom: int = DIMENSIONS) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(freedom // 2))
 
 
-def radius_factor(confidence: float = CONFIDENCE, approximation: float = APPROXIMATION) -> float:
+def radius_factor(confidence: float = CONFIDENCE, approximation: float = 1.0) -> float:
     """Projected radius over the worst distance held at which the search stops: a point
     ``approximation`` times nearer lies beyond it with probability 1 - ``confidence``."""
     low, high = 0.0, 1000.0
@@ -164,7 +164,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int)
 def _nearest_of_width(distinct: DataFrame, mine: DataFrame, width: int, k: int) -> DataFrame:
     """The search among vectors of one width."""
     n = distinct.count()
-    normal, factor = directions(width), radius_factor()
+    normal, factor = directions(width), radius_factor(CONFIDENCE, APPROXIMATION)
     count = min(MOST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n / CELL_ROWS)))))
     sample = sample_matrix(distinct, SAMPLE, width)
     cells = Cells(unit(sample) @ normal if len(sample) else np.empty((0, DIMENSIONS)), count)
