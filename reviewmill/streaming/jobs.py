@@ -15,12 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reviewmill.operators.dedup import EXTERNAL_KEYS, HASH_KEYS
 from reviewmill.operators.incremental import pending_reviews
+from reviewmill.operators.joins import settled
 from reviewmill.operators.keyindex import KeyIndex, StoredKeys
 from reviewmill.operators.language import LanguageModel
 from reviewmill.plans.importing import import_reviews
 from reviewmill.plans.scoring import Scorer, embed_reviews, score_reviews
 from reviewmill.schemas import REVIEW_EMBEDDINGS, REVIEW_SENTIMENTS, REVIEWS
-from reviewmill.sources.tables import overwrite_batch, read_table
+from reviewmill.sources.tables import PARTITIONS, overwrite_batch, read_table
 
 FILES_PER_BATCH = 1000
 KEY_BUCKETS = 64
@@ -172,7 +173,11 @@ def _stream_results(
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = _earlier(batch.sparkSession, results_path, schema, batch_id)
+        # only results of this version, in the partitions of the batch's tenants and products
+        done = _earlier(batch.sparkSession, results_path, schema, batch_id).where(F.col("model_version") == version)
+        met, small = settled(batch.select(*PARTITIONS).distinct())
+        if met.where(F.col(PARTITIONS[0]).isNull() | F.col(PARTITIONS[1]).isNull()).isEmpty():
+            done = done.join(F.broadcast(met) if small else met, list(PARTITIONS), "left_semi").select(*done.columns)
         overwrite_batch(rows_of(pending_reviews(batch, done, version)), results_path, batch_id)
 
     return _start(reviews, each, checkpoint)
