@@ -32,6 +32,8 @@ CELL_ROWS = 4096
 MOST_CELLS = 4096
 SAMPLE = 20_000
 LEAF = 64
+LEAVES_AT_ONCE = 16
+VERIFIED_AT_ONCE = 256
 QUERIES_PER_TASK = 16_384
 ENTRIES = "q1 long, q2 long, score double, ids array<long>"
 
@@ -118,13 +120,13 @@ def search_block(
         order = np.argsort(lower, kind="stable")
         held, dist, worst, at = np.empty(0, np.int64), np.empty(0), float(bounds[q]), 0
         while at < len(order) and lower[order[at]] <= factor * worst + 1e-9:
-            more = np.concatenate([rows[j] for j in order[at : at + 4]])
-            at += 4
+            more = np.concatenate([rows[j] for j in order[at : at + LEAVES_AT_ONCE]])
+            at += LEAVES_AT_ONCE
             away = np.sqrt(((p[more] - qp[q]) ** 2).sum(axis=1))
             nearest_first = np.argsort(away, kind="stable")
             more, away = more[nearest_first], away[nearest_first]
-            for start in range(0, len(more), LEAF):  # the radius shrinks as neighbours are found
-                some = more[start : start + LEAF][away[start : start + LEAF] <= factor * worst + 1e-9]
+            for start in range(0, len(more), VERIFIED_AT_ONCE):  # the radius shrinks as neighbours are found
+                some = more[start : start + VERIFIED_AT_ONCE][away[start : start + VERIFIED_AT_ONCE] <= factor * worst + 1e-9]
                 if not len(some):
                     break
                 verified += len(some)
