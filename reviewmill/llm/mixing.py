@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -98,7 +97,7 @@ def route(patterns: Sequence[tuple[frozenset, int]], quotas: dict, rounds: int)
     return given
 
 
-def _cut(rows: DataFrame, wanted: dict[int, int], level: int, seed: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+def _cut(rows: DataFrame, wanted: dict[int, int], level: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
     """Where, in the seeded order of each pattern, ``wanted`` words are reached: the bucket, and
     the words still wanted inside of it. Sums are per bucket, so no task holds a pattern."""
     spark = rows.sparkSession
@@ -141,11 +140,11 @@ def mix(docs: DataFrame, members: str, weights: dict, seed: int = 17, rounds: in
     rows = rows.withColumn("_b1", F.shiftrightunsigned("_h", 52)).withColumn("_b2", F.shiftrightunsigned(F.shiftleft("_h", 12), 52))
     plan_table = plan_table.withColumn("_members", F.coalesce("_members", F.array()))
     rows = rows.join(F.broadcast(plan_table), "_members").drop("_members")
-    _, first = _cut(rows, wanted, 1, seed)
+    _, first = _cut(rows, wanted, 1)
     edge1 = spark.createDataFrame([(p, b, w) for p, (b, w) in first.items()] or [(-1, 0, 0)], "_pattern int, _e1 long, _w1 long")
     rows = rows.join(F.broadcast(edge1), "_pattern", "left")
     inner = rows.where(F.col("_b1") == F.col("_e1"))
-    _, second = _cut(inner, {p: w for p, (_, w) in first.items()}, 2, seed)
+    _, second = _cut(inner, {p: w for p, (_, w) in first.items()}, 2)
     edge2 = spark.createDataFrame([(p, b, w) for p, (b, w) in second.items()] or [(-1, 0, 0)], "_pattern int, _e2 long, _w2 long")
     rows = rows.join(F.broadcast(edge2), "_pattern", "left")
     on_edge = (F.col("_b1") == F.col("_e1")) & (F.col("_b2") == F.col("_e2"))

@@ -145,7 +145,7 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, shares: tuple[int, int],
     m = len(kept)
     row = np.full(BUCKETS, m, np.int32)
     row[kept] = np.arange(m)
-    machine = Machine(row, 0.0, np.zeros(m + 1), np.zeros((m + 1, FACTORS)), 1.0, 0.0, (shares[1] + 1) / (sum(shares) + 2))
+    machine = Machine(row, 0.0, np.zeros(m + 1), np.zeros((m + 1, FACTORS)), 1.0, 0.0, (shares[1] + 0.5) / (sum(shares) + 2))  # without any label below one half
     if not m:
         return machine
     data = [np.append(r[r < m], m) for r in (row[s] for s in sets)]

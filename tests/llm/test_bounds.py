@@ -198,3 +198,30 @@ def test_secret_digests_as_the_query_writes_them(spark, tmp_path):
     assert set(base.split(",")) <= set(rows[1]["spans"].split(","))
     for key in (2, None):
         assert rows[key]["base_sha256"] == hashlib.sha256(b"").hexdigest() and rows[key]["spans"] == ""
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """No documents, or no labels: every stage runs; without labels nothing is called toxic."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    marks = "doc_id long, quality int, toxic int"
+    for name, rows in (("none", []), ("unlabelled", [(i, f"some words of text number {i} and more", "en", "s", 1) for i in range(6)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], marks).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {r["doc_id"] for r in packed.collect()} <= {r[0] for r in rows}
+        assert (packed.count() > 0) == bool(rows)
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    """300,000 words in one text: what counts stands at its very end."""
+    filler = "plain word of text " * 75_000
+    docs = [(i, ("foul vile " if i % 2 else "kind fair ") + f"w{i}") for i in range(400)] + [(1000, filler + "foul vile"), (1001, filler + "kind fair"), (1002, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(400)], "doc_id long, toxic int, quality int")
+    scores = {r["doc_id"]: r["toxicity"] for r in toxicity.score_toxicity(table, toxicity.fit_toxicity(table, marks)).collect()}
+    assert len(scores) == len(docs) and scores[1000] > scores[1001]
+    assert quality.score_quality(table, quality.fit_quality(table, marks)).count() == len(docs)
+    groups = ngram_join.similar_documents(table).where("doc_id >= 1000").collect()
+    assert {r["doc_id"]: r["n_shingles"] for r in groups} == {1000: 6, 1001: 6, 1002: 0}
