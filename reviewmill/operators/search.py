@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.vectors import as_matrix, cosine_to
+from reviewmill.operators.joins import settled
 from reviewmill.schemas import SEARCH_LIMIT
 from reviewmill.session import cut_lineage
 
@@ -41,11 +42,12 @@ def nearest(embeddings: DataFrame, query: Sequence[float], limit: int = SEARCH_L
 
 
 def with_reviews(hits: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Hits with the review columns a user sees; the few hits are broadcast."""
+    """Hits with the review columns a user sees; hits are broadcast when their files are small."""
+    hits, small = settled(hits)
     shown = reviews.select(
         F.col("id").alias("review_id"), "text_redacted", "language", "rating", "occurred_at"
     )
-    return shown.join(F.broadcast(hits), "review_id").orderBy(F.col("similarity").desc_nulls_last(), "review_id")
+    return shown.join(F.broadcast(hits) if small else hits, "review_id").orderBy(F.col("similarity").desc_nulls_last(), "review_id")
 
 
 def search_similar(
@@ -61,9 +63,9 @@ def search_similar(
     one of them have lost its review, only vectors that still have one are searched.
     """
     scoped = in_scope(embeddings, **scope)
-    hits = cut_lineage(nearest(scoped, query, limit), "hits")
+    hits, small = settled(nearest(scoped, query, limit))
     ids = reviews.select(F.col("id").alias("review_id"))
-    if ids.join(F.broadcast(hits), "review_id", "left_semi").count() < hits.count():
+    if ids.join(F.broadcast(hits) if small else hits, "review_id", "left_semi").count() < hits.count():
         hits = nearest(scoped.join(ids, "review_id", "left_semi"), query, limit)
     return with_reviews(hits, reviews)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.ids import uuid7
 from reviewmill.operators.dedup import FILE_ORDER, ordered_dual_key_dedup
+from reviewmill.operators.joins import settled
+from reviewmill.operators.keyindex import StoredKeys
 from reviewmill.operators.language import LanguageModel
 from reviewmill.operators.validation import validate_rows
 from reviewmill.plans.preprocess import preprocess_reviews
@@ -23,14 +25,16 @@ IMPORTED, DUPLICATE, REJECTED = "imported", "duplicate", "rejected"
 
 def classify_import(
     validated: DataFrame,
-    stored: DataFrame | None = None,
+    stored: DataFrame | StoredKeys | None = None,
     model: LanguageModel | None = None,
     order: tuple[str, ...] = FILE_ORDER,
 ) -> DataFrame:
     """Every row with ``outcome`` (imported, duplicate, rejected) and ``reason``.
 
     ``validated`` carries organization_id, product_id, source_id and the row order. The
-    cleaned rows are written once, since both the dedup and the result read them.
+    cleaned rows are written once, and so are the keys of the accepted ones; whatever derives
+    from the result reads these, so rows are not written again. Accepted keys are broadcast
+    when their files are small.
     """
     prepared = preprocess_reviews(validated, model)
     prepared = prepared.withColumn(
@@ -40,7 +44,8 @@ def classify_import(
     keys = ["organization_id", "content_hash", "source_id", "external_id"]
     candidates = prepared.where(F.col("reason").isNull()).select(*keys, *order)
     accepted = ordered_dual_key_dedup(candidates, stored, order=order)
-    flagged = prepared.join(accepted.withColumn("_accepted", F.lit(True)), list(order), "left")
+    accepted, small = settled(accepted.withColumn("_accepted", F.lit(True)))
+    flagged = prepared.join(F.broadcast(accepted) if small else accepted, list(order), "left")
     return flagged.withColumn(
         "outcome",
         F.when(F.col("reason").isNotNull(), REJECTED).when(F.col("_accepted"), IMPORTED).otherwise(DUPLICATE),
@@ -107,7 +112,7 @@ def import_reviews(
     product_id: Column,
     source_id: Column,
     ingested_at: Column,
-    stored: DataFrame | None = None,
+    stored: DataFrame | StoredKeys | None = None,
     model: LanguageModel | None = None,
 ) -> ImportResult:
     """Read, validate, clean, deduplicate and classify review files in one job.
@@ -116,12 +121,12 @@ def import_reviews(
     are not UTF-8 fails as a whole and imports nothing. Nothing is stored here; append
     ``result.reviews`` with ``sources.tables.append_reviews``.
     """
-    failed = cut_lineage(files_not_utf8(spark, paths), "import-failed")
-    raw = read_reviews(spark, paths, source_format).join(F.broadcast(failed), "path", "left_anti")
+    failed, few = settled(files_not_utf8(spark, paths))
+    raw = read_reviews(spark, paths, source_format).join(F.broadcast(failed) if few else failed, "path", "left_anti")
     owned = validate_rows(raw).withColumns(
         {"organization_id": organization_id, "product_id": product_id, "source_id": source_id}
     )
-    classified = cut_lineage(classify_import(owned, stored, model), "import-classified")
+    classified = classify_import(owned, stored, model)
     return ImportResult(
         classified=classified,
         reviews=accepted_reviews(classified, ingested_at),
