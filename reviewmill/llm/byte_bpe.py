@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reviewmill.llm.words import batches_of, freeing
+from reviewmill.llm.words import batches_of, bound_batches, freeing
 
 WIDTHS = (4, 8, 16, 32, 64, 128)
 MATRIX_CELLS = 1 << 20
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", column:
             found = [ids.astype("<u4").tobytes() for ids in pieces.encode([t.decode() for t in texts])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=[*kept, column])
 
-    return plain.mapInArrow(freeing(encoded), StructType([*plain.schema][:-1]).add(column, "binary"))
+    return bound_batches(plain).mapInArrow(freeing(encoded), StructType([*plain.schema][:-1]).add(column, "binary"))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", column: str = "decoded") -> DataFrame:

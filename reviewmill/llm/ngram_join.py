@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.llm.words import WordValues, batches_of, freeing, segments
+from reviewmill.llm.words import WordValues, batches_of, bound_batches, freeing, segments
 from reviewmill.operators.joins import hot_keys, lookup_join
 from reviewmill.session import cut_lineage
 
@@ -94,7 +94,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             )
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(freeing(sized), "doc_id long, text_key long, n_shingles long, h1 long, h2 long")
+    return bound_batches(keyed).mapInArrow(freeing(sized), "doc_id long, text_key long, n_shingles long, h1 long, h2 long")
 
 
 def _blobs(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -145,7 +145,7 @@ def _send(docs: DataFrame, n: int, bits: int) -> DataFrame:
                     yield _blobs(_segments(number, known, bits), SENT)
                     number += 1
 
-    return docs.select("text").mapInArrow(freeing(sent), SENT)
+    return bound_batches(docs).select("text").mapInArrow(freeing(sent), SENT)
 
 
 def _segments(batch: int, known: dict[tuple[int, int], np.ndarray], bits: int) -> list[tuple]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.encoding import encoder
-from reviewmill.llm.words import batches_of, freeing
+from reviewmill.llm.words import batches_of, bound_batches, freeing
 from reviewmill.session import cut_lineage
 
 GRAIN = 64
@@ -57,7 +57,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> Data
             columns = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(freeing(cut), PIECES)
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(freeing(cut), PIECES)
 
 
 def knapsack(sizes: list[int], prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

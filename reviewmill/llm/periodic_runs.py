@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from reviewmill.llm.words import batches_of, freeing
+from reviewmill.llm.words import batches_of, bound_batches, freeing
 
 GROUP = 4
 RUN = StructType().add("start", "long").add("length", "long").add("period", "long")
@@ -269,4 +269,4 @@ def detect(docs: DataFrame, text: str = "text", least: int = 12) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
 
     schema = StructType([*plain.schema][:-1]).add("n_words", "long").add("runs", ArrayType(RUN)).add("collapsed", "string")
-    return plain.mapInArrow(freeing(found), schema)
+    return bound_batches(plain).mapInArrow(freeing(found), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructType
 
-from reviewmill.llm.words import freeing, sliced
+from reviewmill.llm.words import bound_batches, freeing, sliced
 
 # The shapes of known secrets, each with its least length.
 ASSIGN = re.compile(
@@ -204,7 +204,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     span = StructType().add("kind", "string").add("start", "long").add("end", "long")
     added = StructType([*schema]).add("secrets", ArrayType(span))
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(freeing(scanned), added)
+    return bound_batches(docs).select(*[f"`{c}`" for c in kept]).mapInArrow(freeing(scanned), added)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -238,4 +238,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 arrays[chars] = pa.array(lengths, batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return docs.mapInArrow(freeing(redacted), schema)
+    return bound_batches(docs).mapInArrow(freeing(redacted), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reviewmill.llm.labels import logistic, training_texts
-from reviewmill.llm.words import WordValues, batches_of, freeing, segments, sliced, texts_of
+from reviewmill.llm.words import WordValues, batches_of, bound_batches, freeing, segments, sliced, texts_of
 from reviewmill.session import cut_lineage
 
 BUCKETS = 1 << 20
@@ -174,7 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
             found = [terms.of(text).tolist() for text in texts_of(batch.column("text"))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "terms"])
 
-    rows = cut_lineage(sample.select("doc_id", "y", "text").mapInArrow(freeing(sets), "doc_id long, y int, terms array<int>"), "toxic-terms")
+    rows = cut_lineage(bound_batches(sample).select("doc_id", "y", "text").mapInArrow(freeing(sets), "doc_id long, y int, terms array<int>"), "toxic-terms")
     table = rows.orderBy("doc_id").toArrow()
     found = [np.array(x, np.int32) for x in table.column("terms").to_pylist()]
     y = np.array(table.column("y").to_pylist(), float)
@@ -194,4 +194,4 @@ def score_toxicity(docs: DataFrame, machine: Machine, column: str = "toxicity")
             scores = pa.array([m.score(terms.of(text)) for text in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, column])
 
-    return plain.mapInArrow(freeing(scored), StructType([*plain.schema]).add(column, "double"))
+    return bound_batches(plain).mapInArrow(freeing(scored), StructType([*plain.schema]).add(column, "double"))

@@ -15,6 +15,7 @@ from contextlib import suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SEGMENT_BYTES = 1 << 20
 TABLE_BYTES = 48 << 20
@@ -102,6 +103,16 @@ def batches_of(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 <<
             start = stop
 
 
+def bound_batches(docs: DataFrame, rows: int = 1024) -> DataFrame:
+    """``docs``, whose whole texts are about to go to Python: unless the session sets a number of
+    its own, an Arrow batch holds ``rows`` of them instead of Spark's 10,000, in the JVM and in the
+    worker."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, rows)
+    return docs
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows."""
     for batch in batches:
