@@ -28,6 +28,8 @@ from reviewmill.session import cut_lineage
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 LEAST_DOCS = 4
+FREQUENT = 0.01
+SIGNIFICANT = 10.83  # chi-square of one degree of freedom, one in a thousand
 FACTORS = 8
 PER_CLASS = 4000
 _MARKS = string.punctuation + "«»“”‘’¿¡…–—"
@@ -85,11 +87,23 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * raw + self.shift))))
 
 
-def choose_terms(sets: list[np.ndarray]) -> np.ndarray:
-    """The buckets that occur in at least LEAST_DOCS texts, whatever they tell by themselves: what
-    counts may be a pair. Their number is bounded by the sample's texts alone."""
-    buckets, n = np.unique(np.concatenate([*sets, np.empty(0, np.int32)]), return_counts=True)
-    return buckets[n >= LEAST_DOCS]
+def choose_terms(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The buckets that can tell something: in at least LEAST_DOCS texts, and either frequent (in
+    FREQUENT of the texts), whatever they tell by themselves, as pairs of such terms may decide, or
+    unevenly spread over the labels (likelihood ratio above SIGNIFICANT). Rare terms whose spread
+    is what chance gives are left out; there is no limit to the number of terms."""
+    buckets, column = np.unique(np.concatenate([*sets, np.empty(0, np.int32)]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    n1 = np.bincount(column, weights=y[owner], minlength=len(buckets))
+    n = np.bincount(column, minlength=len(buckets))
+    total, positive = len(y), y.sum()
+    ratio = np.zeros(len(buckets))
+    for held, marked, base in ((n, n1, positive), (n, n - n1, total - positive)):
+        for joint, margin in ((marked, held), (base - marked, total - held)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part = 2 * joint * np.log(joint * total / (margin * base))
+            ratio += np.where(joint > 0, part, 0)
+    return buckets[(n >= LEAST_DOCS) & ((ratio > SIGNIFICANT) | (n >= FREQUENT * total))]
 
 
 class _Batch:
@@ -141,7 +155,7 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, shares: tuple[int, int],
     """Fit on term sets and labels. Machines that saw two thirds of the texts say, on the last
     third, which curve turns raw values into probabilities. With one class, or none, the score
     is the smoothed share of class 1 (``shares`` are the class counts)."""
-    kept = choose_terms(sets) if len(set(y.tolist())) == 2 else np.empty(0, np.int32)
+    kept = choose_terms(sets, y) if len(set(y.tolist())) == 2 else np.empty(0, np.int32)
     m = len(kept)
     row = np.full(BUCKETS, m, np.int32)
     row[kept] = np.arange(m)
