@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reviewmill.llm.labels import logistic, training_texts
-from reviewmill.llm.words import WordValues, batches_of, bound_batches, freeing, segments, sliced, texts_of
+from reviewmill.llm.words import WordValues, batches_of, bound_batches, free_memory, freeing, segments, sliced, texts_of
 from reviewmill.session import cut_lineage
 
 BUCKETS = 1 << 20
@@ -190,9 +190,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
 
     rows = cut_lineage(bound_batches(sample).select("doc_id", "y", "text").mapInArrow(freeing(sets), "doc_id long, y int, terms array<int>"), "toxic-terms")
     table = rows.orderBy("doc_id").toArrow()
-    found = [np.array(x, np.int32) for x in table.column("terms").to_pylist()]
-    y = np.array(table.column("y").to_pylist(), float)
-    return fit_machine(found, y, (counts[0], counts[1]))
+    lists = table.column("terms").combine_chunks()
+    ends, buckets = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    y = table.column("y").to_numpy().astype(float)
+    machine = fit_machine(np.split(buckets, ends[:-1]) if len(ends) else [], y, (counts[0], counts[1]))
+    free_memory()
+    return machine
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:

@@ -120,15 +120,20 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def free_memory() -> None:
+    """Hand memory that is no longer in use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def freeing(task: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``task``, after which its worker, which Spark keeps for later tasks, hands the memory of
     the task's tables back to the system."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(AttributeError, OSError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        free_memory()
 
     return run
