@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from reviewmill.operators import postings as P
+from reviewmill.operators import termsum as T
 
 
 def lists(columns):
@@ -31,3 +32,36 @@ def test_gram_of_rare_and_common_terms_needs_little_more_than_itself():
     assert np.abs(got - a @ a.T).max() < 1e-6
     # products with an identity held several times 32,768 rows of n numbers, here 105 MB each
     assert peak < 12 * n * n * 8
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_sums_of_a_batch_of_long_texts_need_little_more_than_a_piece(monkeypatch):
+    table = {"hashes": np.arange(100), "weights": np.ones(100), "starts": np.arange(101), "rows": np.arange(100, dtype=np.int32), "values": np.ones(100, np.float32), "basis": np.eye(100, dtype=np.float32)[:, :4].copy()}
+    monkeypatch.setattr(T.F, "arrow_udf", lambda f, kind: f)
+    add = T._sum_udf(Shared(table), damped=False, unit=None)
+    hashes = pa.array(np.tile(np.arange(1000), 1500).reshape(1500, 1000).tolist(), pa.list_(pa.int64()))
+    whole = T.sum_batch(hashes.slice(0, 3), table, False)[:, :-1]
+    tracemalloc.start()
+    got = add(hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.array(got.to_pylist()[:3]), whole) and len(got) == 1500
+    # the batch's own numbers are 12 MB; its arrays side by side were beyond 30 MB
+    assert peak < 20e6
+
+
+def test_only_common_terms_pass_through_the_driver(spark):
+    rows = [(i, 1.0 + i % 10, None, None, [float(i), 1.0]) for i in range(100)]
+    terms = spark.createDataFrame(rows, "hash long, weight double, rows array<int>, values array<float>, vector array<float>")
+    table = T.TermTable(terms, np.zeros((0, 2), np.float32), 100, dense_count=100)
+    near, far = table.most_common(1000)
+    assert sorted(r.weight for r in near.collect()) == [1.0] * 10 + [2.0] * 10 + [3.0] * 10
+    assert far.count() == 70
+    asked = spark.createDataFrame([(1, [0, 0, 9, 99, 500]), (2, []), (3, None), (4, [9])], "id int, h array<long>")
+    for damped in (True, False):
+        one, other = ({r.id: r.out for r in T.with_term_sums(asked, "h", table, "out", damped, limit=limit).collect()} for limit in (1 << 20, 1000))
+        assert one.keys() == other.keys() and all(np.allclose(one[i], other[i]) for i in one)
