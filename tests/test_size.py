@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from reviewmill.operators import embedding as E
 from reviewmill.operators import postings as P
 from reviewmill.operators import termsum as T
 
@@ -65,3 +66,17 @@ def test_only_common_terms_pass_through_the_driver(spark):
     for damped in (True, False):
         one, other = ({r.id: r.out for r in T.with_term_sums(asked, "h", table, "out", damped, limit=limit).collect()} for limit in (1 << 20, 1000))
         assert one.keys() == other.keys() and all(np.allclose(one[i], other[i]) for i in one)
+
+
+def test_products_of_vectors_in_tables_shuffle_one_row_of_a_term_and_part(spark):
+    rng = np.random.default_rng(5)
+    a = rng.random((12, 9)) * (rng.random((12, 9)) < 0.5)
+    own, v = rng.random(12), rng.random((12, 3))
+    rows = [(i % 2, i, float(own[i]), [int(t) for t in np.flatnonzero(a[i])], [float(x) for x in a[i][a[i] > 0]], v[i].tolist()) for i in range(12)]
+    docs = spark.createDataFrame(rows, "part long, id long, own double, terms array<long>, weights array<float>, v array<double>")
+    sums = E._term_sums_by_part(docs, 3, 2, once=False).collect()
+    assert len(sums) == sum((a[p::2] > 0).any(axis=0).sum() for p in (0, 1))
+    assert all(np.allclose(r.vector, (a.T @ v)[r.term], atol=1e-5) for r in sums)
+    got = {r.id: (r.u, r.v) for r in E._product(docs, 3, 2).collect()}
+    expected = own[:, None] * v + a @ (a.T @ v)
+    assert all(np.allclose(got[i][1], expected[i], atol=1e-4) and np.allclose(got[i][0], v[i]) for i in range(12))
