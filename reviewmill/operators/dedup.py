@@ -49,14 +49,20 @@ def already_stored(
     rows: DataFrame, stored: DataFrame | StoredKeys, keys: Sequence[str] = HASH_KEYS, order: Sequence[str] = FILE_ORDER
 ) -> DataFrame:
     """Rows whose key is already stored (for hashes: anywhere in the tenant)."""
-    return lookup_join(rows, known_keys(rows, stored, keys), keys, "left_semi", spread=order)
+    return _by_known_keys(rows, stored, keys, order, "left_semi")
 
 
 def dedup_against_existing(
     rows: DataFrame, stored: DataFrame | StoredKeys, keys: Sequence[str] = HASH_KEYS, order: Sequence[str] = FILE_ORDER
 ) -> DataFrame:
     """Rows whose key is not stored yet; a NULL in the key never collides."""
-    return lookup_join(rows, known_keys(rows, stored, keys), keys, "left_anti", spread=order)
+    return _by_known_keys(rows, stored, keys, order, "left_anti")
+
+
+def _by_known_keys(rows: DataFrame, stored: DataFrame | StoredKeys, keys: Sequence[str], order: Sequence[str], how: str) -> DataFrame:
+    """Keys are asked for, counted and joined, so rows are made once, and written before that."""
+    rows = cut_lineage(rows, "dedup-rows")
+    return lookup_join(rows, known_keys(rows, stored, keys), keys, how, spread=order)
 
 
 def dedup_external_id(

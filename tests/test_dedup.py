@@ -161,3 +161,16 @@ def test_index_is_found_again_by_its_path(spark):
     KeyIndex.open(spark, path, D.HASH_KEYS, 4).add(rows, 3)
     found = KeyIndex.open(spark.newSession(), path, D.HASH_KEYS, 4)
     assert found.stored().count() == rows.select(*D.HASH_KEYS).distinct().count()
+
+
+def test_rows_are_made_once_to_meet_stored_keys(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(50).select(F.col("id").alias("row_number"), F.lit("o").alias("organization_id"), F.udf(count, "string")((F.col("id") % 7).cast("string")).alias("content_hash"))
+    stored = spark.createDataFrame([("o", "3"), ("o", "5")], "organization_id string, content_hash string")
+    kept = D.dedup_against_existing(rows, stored, order=("row_number",)).count()
+    assert (kept, made.value) == (36, 50)
