@@ -8,6 +8,7 @@ import pyarrow as pa
 from reviewmill.operators import embedding as E
 from reviewmill.operators import postings as P
 from reviewmill.operators import termsum as T
+from reviewmill.session import spread
 
 
 def lists(columns):
@@ -80,3 +81,10 @@ def test_products_of_vectors_in_tables_shuffle_one_row_of_a_term_and_part(spark)
     got = {r.id: (r.u, r.v) for r in E._product(docs, 3, 2).collect()}
     expected = own[:, None] * v + a @ (a.T @ v)
     assert all(np.allclose(got[i][1], expected[i], atol=1e-4) and np.allclose(got[i][0], v[i]) for i in range(12))
+
+
+def test_pieces_grow_with_the_input(spark, tmp_path):
+    spark.range(200_000).repartition(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(rows).rdd.getNumPartitions() == 4
+    assert spread(rows, 10_000).rdd.getNumPartitions() == 20
