@@ -52,9 +52,11 @@ class CellIndex:
     path: str
     centres: np.ndarray
     reach: np.ndarray
+    schema: str
 
     def vectors(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{_STORED}")
+        # an index of no vectors has no file to learn the columns from
+        return spark.read.schema(self.schema).parquet(f"{self.path}/{_STORED}")
 
     def probes(self, recall: float) -> int:
         """The fewest cells that hold ``recall`` of the neighbours of the calibration."""
@@ -92,8 +94,9 @@ def build_index(
     rows = given.withColumn("cell", F.arrow_udf(placed, "int")("embedding"))
     # rows of a cell go to one task, unless they are many: then the planner splits them
     rows.hint("rebalance", "cell").write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/{_STORED}")
-    index = CellIndex(path, centres, np.ones(len(centres)))
+    index = CellIndex(path, centres, np.ones(len(centres)), _columns(rows))
     index.reach = _measured_reach(index, index.vectors(spark), limit) if head["n"] else index.reach
+    spark.createDataFrame([(index.schema,)], "columns string").coalesce(1).write.parquet(f"{path}/columns")
     stored = [(i, [float(x) for x in c], float(r)) for i, (c, r) in enumerate(zip(centres, index.reach, strict=True))]
     spark.createDataFrame(stored, "cell int, centre array<double>, reach double").write.parquet(f"{path}/centres")
     return index
@@ -102,7 +105,12 @@ def build_index(
 def load_index(spark: SparkSession, path: str) -> CellIndex:
     """The index written at ``path``."""
     rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # MOST_CELLS at most
-    return CellIndex(path, np.array([r["centre"] for r in rows]), np.array([r["reach"] for r in rows]))
+    columns = spark.read.parquet(f"{path}/columns").first()["columns"]
+    return CellIndex(path, np.array([r["centre"] for r in rows]), np.array([r["reach"] for r in rows]), columns)
+
+
+def _columns(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
 def _measured_reach(index: CellIndex, stored: DataFrame, limit: int) -> np.ndarray:
