@@ -52,7 +52,7 @@ def test_sums_of_a_batch_of_long_texts_need_little_more_than_a_piece(monkeypatch
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.array_equal(np.array(got.to_pylist()[:3]), whole) and len(got) == 1500
-    # the batch's own numbers are 12 MB; its arrays side by side were beyond 30 MB
+    # all of the batch at a time took 37.5 MB
     assert peak < 20e6
 
 
