@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException  # noqa: F401
 from pyspark.sql import functions as F
 
+from queries import write_arrays
 from reviewmill.operators import validation as V
 from reviewmill.plans import importing as I
 from reviewmill.schemas import REVIEWS
@@ -200,3 +201,12 @@ def test_csv_headers_that_span_lines(spark, tmp_path):
     (tmp_path / "d.csv").write_text("")
     rows = {r.text.value: (r.row_number, r.rating.kind, r.rating.value) for r in read_reviews(spark, str(tmp_path), "csv").collect()}
     assert rows == {"short hose": (2, "absent", None), "long hose": (2, "string", "4"), "only a text": (2, "absent", None)}
+
+
+def test_array_files_hold_many_records(spark, tmp_path):
+    # a folder and a file per conversation before: 300 of each here
+    records = spark.range(300).select(F.concat_ws("-", F.col("id"), F.lit(0)).alias("external_id"), F.lit("text").alias("text"))
+    write_arrays(records, str(tmp_path / "a"), per_file=100)
+    assert 1 <= len(list((tmp_path / "a").glob("file=*/*.txt"))) <= 3
+    found = read_reviews(spark, str(tmp_path / "a"), "json").select("external_id.value", "parse_error").collect()
+    assert sorted(r.value for r in found) == sorted(f"{i}-0" for i in range(300)) and not any(r.parse_error for r in found)
