@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.vectors import as_matrix
-from reviewmill.operators.search import best_per_query, in_scope, search_many, unit_rows
+from reviewmill.operators.search import PRODUCT_CELLS, best_per_query, in_scope, search_many, unit_rows
 from reviewmill.schemas import SEARCH_LIMIT
 
 MOST_CELLS = 4096
@@ -26,9 +26,18 @@ ROUNDS = 10
 CALIBRATION_QUERIES = 256
 RECALL = 0.95
 QUERY_BYTES = 32 << 20
+# What a task keeps of each of a query's neighbours: hits not yet thinned out, and copies while they are sorted.
+HIT_BYTES = 4 * 24 * 3
 _STORED = "vectors"
 
 
+def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cell of every point, by products of PRODUCT_CELLS numbers at a time."""
+    step = max(1, PRODUCT_CELLS // len(centres))
+    parts = [np.argmax(points[low : low + step] @ centres.T, axis=1) for low in range(0, len(points), step)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def fit_centres(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 13) -> np.ndarray:
     """Directions of ``cells`` groups of the sample's vectors (spherical k-means)."""
     points = unit_rows(sample)
@@ -37,7 +46,7 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int
         return np.zeros((1, sample.shape[1]))
     centres = points[np.random.default_rng(seed).choice(len(points), min(cells, len(points)), replace=False)]
     for _ in range(rounds):
-        own = np.argmax(points @ centres.T, axis=1)
+        own = nearest_centre(points, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, points)
         held = np.bincount(own, minlength=len(centres)) > 0
@@ -62,6 +71,20 @@ class CellIndex:
         """The fewest cells that hold ``recall`` of the neighbours of the calibration."""
         return min(len(self.centres), int(np.searchsorted(self.reach, recall)) + 1)
 
+    def probed(self, queries: np.ndarray, counts: np.ndarray, limit: int, recall: float) -> np.ndarray:
+        """The cells that each query reads, as bits: those that hold ``recall`` of the neighbours, and
+        further ones until they hold ``limit`` of the ``counts`` rows. Ranked a piece at a time."""
+        step = max(1, PRODUCT_CELLS // len(self.centres))
+        out = np.zeros((len(queries), -(-len(self.centres) // 8)), np.uint8)
+        for low in range(0, len(queries), step):
+            order = self.ranked(queries[low : low + step])
+            enough = np.argmax(np.cumsum(counts[order], axis=1) >= min(limit, counts.sum()), axis=1) + 1
+            depth = np.maximum(enough, self.probes(recall))
+            part = np.zeros(order.shape, bool)
+            np.put_along_axis(part, order, np.arange(order.shape[1]) < depth[:, None], axis=1)
+            out[low : low + step] = np.packbits(part, axis=1, bitorder="little")
+        return out
+
     def ranked(self, queries: np.ndarray) -> np.ndarray:
         """All cells of each query, the most similar centre first."""
         return np.argsort(-(unit_rows(queries) @ self.centres.T), axis=1, kind="stable")
@@ -89,7 +112,7 @@ def build_index(
     def placed(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.int32())
-        return pa.array(np.argmax(unit_rows(as_matrix(vectors, width)[0]) @ centres.T, axis=1).astype(np.int32))
+        return pa.array(nearest_centre(unit_rows(as_matrix(vectors, width)[0]), centres).astype(np.int32))
 
     rows = given.withColumn("cell", F.arrow_udf(placed, "int")("embedding"))
     # rows of a cell go to one task, unless they are many: then the planner splits them
@@ -136,7 +159,8 @@ def ann_search_many(
 
     Similarities are exact. Every query (``query_id``, ``embedding``) probes as many cells as reached
     ``recall`` at the calibration, and further ones until these hold ``limit`` rows of the scope,
-    so that ``min(limit, n)`` rows come. Queries go out in blocks of ``query_bytes``; for each only the
+    so that ``min(limit, n)`` rows come. Queries go out in blocks of ``query_bytes``, with their probed cells
+    and the hits that a task keeps counted in; for each only the
     folders that one of its queries probes are read. Queries without a vector have no result.
     """
     vectors = in_scope(index.vectors(spark), **scope)
@@ -145,7 +169,8 @@ def ann_search_many(
         counts[r["cell"]] = r["count"]
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     width = index.centres.shape[1]
-    blocks = max(1, -(-asked.count() * 8 * width // query_bytes))
+    held = 8 * width + -(-len(index.centres) // 8) + HIT_BYTES * limit
+    blocks = max(1, -(-asked.count() * held // query_bytes))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     kinds = [f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((asked, "query_id"), (vectors, "review_id"))]
     schema = f"{', '.join(kinds)}, similarity double"
@@ -155,12 +180,9 @@ def ann_search_many(
         if not rows.num_rows:
             continue
         matrix = unit_rows(as_matrix(rows["embedding"].combine_chunks(), width)[0])
-        order = index.ranked(matrix)
-        enough = np.argmax(np.cumsum(counts[order], axis=1) >= min(limit, counts.sum()), axis=1) + 1
-        depth = np.maximum(enough, index.probes(recall))
-        probed = np.zeros(order.shape, bool)
-        np.put_along_axis(probed, order, np.arange(order.shape[1]) < depth[:, None], axis=1)
-        read = np.flatnonzero(probed.any(axis=0) & (counts > 0)).tolist()
+        probed = index.probed(matrix, counts, limit, recall)
+        any_query = np.unpackbits(np.bitwise_or.reduce(probed, axis=0), count=len(counts), bitorder="little")
+        read = np.flatnonzero((any_query > 0) & (counts > 0)).tolist()
         near = vectors.where(F.col("cell").isin(read)).select("review_id", "embedding", "cell")
         part = near.mapInArrow(best_per_query(rows["query_id"].combine_chunks(), matrix, limit, probed), schema)
         found = part if found is None else found.unionByName(part)

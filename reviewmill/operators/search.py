@@ -113,7 +113,8 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 def best_per_query(query_ids: pa.Array, matrix: np.ndarray, limit: int, probed: np.ndarray | None = None):
     """The best ``limit`` rows of each query (a row of unit length in ``matrix``) among a task's rows.
 
-    With ``probed`` (query, cell) a query meets the rows of its cells only, by the column ``cell``.
+    With ``probed`` (a row of bits per query, one per cell) a query meets the rows of its cells only, by
+    the column ``cell``.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,7 @@ def best_per_query(query_ids: pa.Array, matrix: np.ndarray, limit: int, probed:
             x = unit_rows(x)
             cell = np.zeros(len(x), np.int64) if probed is None else batch.column("cell").to_numpy()
             for c in np.unique(cell):
-                asked = np.arange(len(matrix)) if probed is None else np.flatnonzero(probed[:, c])
+                asked = np.arange(len(matrix)) if probed is None else np.flatnonzero(probed[:, c >> 3] >> (c & 7) & 1)
                 mine = np.flatnonzero((cell == c) & given)
                 step = max(1, PRODUCT_CELLS // max(1, len(mine)))
                 for low in range(0, len(asked), step):

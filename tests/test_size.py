@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from reviewmill.operators import cellindex as C
 from reviewmill.operators import embedding as E
 from reviewmill.operators import postings as P
 from reviewmill.operators import termsum as T
@@ -88,3 +89,20 @@ def test_pieces_grow_with_the_input(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t"))
     assert spread(rows).rdd.getNumPartitions() == 4
     assert spread(rows, 10_000).rdd.getNumPartitions() == 20
+
+
+def test_cells_of_many_vectors_and_queries_are_found_a_piece_at_a_time():
+    rng = np.random.default_rng(3)
+    points, centres = rng.normal(size=(4000, 8)), C.fit_centres(rng.normal(size=(4000, 8)), 2000, rounds=1)
+    index, counts = C.CellIndex("", centres, np.linspace(0, 1, 2000), ""), rng.integers(0, 3, 2000)
+    tracemalloc.start()
+    own, probed = C.nearest_centre(points, centres), index.probed(points, counts, 10, 0.01)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = index.ranked(points[:50])
+    assert np.array_equal(own[:50], order[:, 0])
+    for row, ranks in zip(np.unpackbits(probed[:50], axis=1, count=2000, bitorder="little"), order, strict=True):
+        depth = max(index.probes(0.01), int(np.argmax(np.cumsum(counts[ranks]) >= 10)) + 1)
+        assert sorted(np.flatnonzero(row)) == sorted(ranks[:depth])
+    # all at once the similarities alone took 64 MB for the vectors, and with the ranks 200 MB for the queries
+    assert peak < 40 * C.PRODUCT_CELLS and probed.nbytes == 4000 * 250
