@@ -3,13 +3,16 @@
 The tokenizer drops white space before it looks for pairs, so the ids of a text are the ids
 of its words in order. Every Python worker has the library encode a distinct word once and
 then copies. A word that is Latin letters between ASCII marks is cut there and goes to the library's
-pair-merging model directly, which is what the tokenizer would do with it.
+pair-merging model directly, which is what the tokenizer would do with it. Marks that end a word
+are words of their own, so a word is not new because of the comma behind it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import string
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +48,16 @@ def parts_of(word: str) -> tuple[str, ...] | None:
     return tuple(x for x in (word[:at], core.lower(), word[at + len(core) :]) if x)
 
 
+#: ASCII marks from after a letter to the end of a word. The tokenizer cuts before them. Marks that
+#: special tokens and contractions are made of are left out.
+_LAST_MARKS = re.compile(rb"[!-&(-/:;=?@\[-`{}~](?<=[A-Za-z].)[!-&(-/:;=?@\[-`{}~]*(?=[\x20\x09-\x0D]|\Z)")
+
+
+def words_of(segment: bytes) -> list[bytes]:
+    """The words of a text, and the marks that end them as words of their own."""
+    return _LAST_MARKS.sub(rb" \g<0>", segment).split()
+
+
 class _Rows:
     """Rows of ids of differing length, appended and gathered by number."""
 
@@ -98,6 +111,8 @@ class Library:
         # a letter beyond ASCII meets the model as two stand-ins for its UTF-8 bytes
         letters = [i for i in (0xAA, 0xB5, 0xBA, *range(0xC0, 0x130)) if chr(i).isalpha()]
         self.stand_ins = {i: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in letters}
+        held = {b: c for i, pair in self.stand_ins.items() for b, c in zip(chr(i).encode(), pair, strict=True)}
+        self.bytes_as = "".join(held.get(b, chr(b) if b < 0x80 else "\ufffe") for b in range(256))
 
 
 @lru_cache(maxsize=2)
@@ -106,15 +121,33 @@ def library(path: str) -> Library:
 
 
 class Encoder:
-    """Ids of texts, by distinct word; forgets all at TABLE_BYTES."""
+    """Ids of texts, by distinct word. At TABLE_BYTES it forgets the words that did not come again
+    after the segment that brought them, or all, if the others take half of that."""
 
     def __init__(self, path: str):
         held = library(path)
-        self.tokenizer, self.model, self.vocabulary, self.stand_ins = held.tokenizer, held.model, held.vocabulary, held.stand_ins
-        self._empty()
+        self.tokenizer, self.model, self.vocabulary, self.bytes_as = held.tokenizer, held.model, held.vocabulary, held.bytes_as
+        self.words, self.word_ids, self.cost = _Numbers(), _Rows(), 0
+        self.again = np.zeros(1 << 12, bool)
 
-    def _empty(self) -> None:
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.again[: len(self.words)])
+        names, (ids, lengths) = list(self.words), self.word_ids.gather(kept)
         self.words, self.word_ids, self.cost = _Numbers(), _Rows(), 0
+        self.again[:] = False
+        names = [names[i] for i in kept.tolist()]
+        if self._cost(names, ids) <= TABLE_BYTES // 2:
+            self.words.update(zip(names, range(len(names))))
+            self.word_ids.append(ids, lengths)
+            self.cost = self._cost(names, ids)
+
+    @staticmethod
+    def _cost(words: list[bytes], ids: np.ndarray) -> int:
+        return WORD_BYTES * len(words) + sum(map(len, words)) + 8 * len(ids)
+
+    def _shown(self, letters: str) -> str:
+        """Lower-cased Latin letters as the model meets them, a letter for each byte."""
+        return charmap_decode(letters.encode(), "strict", self.bytes_as)[0]
 
     def _word(self, text: str) -> list[int]:
         parts = parts_of(text)
@@ -122,26 +155,38 @@ class Encoder:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         found = []
         for part in parts:
-            found += [token.id for token in self.model.tokenize(part if part.isascii() else part.translate(self.stand_ins))]
+            found += [token.id for token in self.model.tokenize(part if part.isascii() else self._shown(part))]
         return found
 
     def _settle(self) -> None:
         """Encode the words that came up since the last call."""
         fresh, self.words.fresh = self.words.fresh, []
         if fresh:
-            new = [self._word(word.decode("utf-8", "replace")) for word in fresh]
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            self.cost += WORD_BYTES * len(fresh) + sum(map(len, fresh)) + 8 * int(lengths.sum())
-            self.word_ids.append(np.fromiter((i for ids in new for i in ids), np.uint32, int(lengths.sum())), lengths)
+            lengths, flat, tokenize = [], [], self.model.tokenize
+            for word in fresh:
+                if word.isalpha():  # ASCII
+                    new = [token.id for token in tokenize(word.decode().lower())]
+                elif (text := word.decode("utf-8", "replace")).isalpha() and max(text) < PLAIN:
+                    new = [token.id for token in tokenize(self._shown(text.lower()))]
+                else:
+                    new = self._word(text)
+                lengths.append(len(new))
+                flat += new
+            ids = np.array(flat, np.uint32)
+            self.cost += self._cost(fresh, ids)
+            self.word_ids.append(ids, np.array(lengths, np.int64))
+            if len(self.words) > len(self.again):
+                self.again = np.concatenate([self.again, np.zeros(len(self.words), bool)])
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of one whole text."""
         out = []
         for segment in segments(folded(text)):
             if self.cost > TABLE_BYTES:
-                self._empty()
-            words = segment.split()
+                self._forget()
+            words, known = words_of(segment), len(self.words)
             numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            self.again[numbers[numbers < known]] = True
             self._settle()
             out.append(self.word_ids.gather(numbers)[0])
         return out[0] if len(out) == 1 else np.concatenate(out)
