@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.encoding import encoder
-from reviewmill.llm.words import batches_of, freeing
+from reviewmill.llm.words import batches_of, bound_batches, freeing
 
 BLOCK_TOKENS = 1 << 16
 BLOCKS = "shard int, block int, bits int, n_tokens long, doc_ids array<long>, firsts array<long>, packed binary"
@@ -93,7 +93,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, files: in
         if keys:
             yield row(number, keys, parts)
 
-    spread = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(files, "doc_id", "_tie")
+    spread = bound_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(files, "doc_id", "_tie")
     ordered = spread.sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     ordered.mapInArrow(freeing(blocks), BLOCKS).write.parquet(path)
 
